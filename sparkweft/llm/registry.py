@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import decontaminate, mixing, near_dedup, reshard, secrets, token_counts
+
+QUERIES = [
+    near_dedup.op1_chosen_path_near_dedup,
+    secrets.op4_multipart_secrets,
+    reshard.op5_min_cost_flow_sharding,
+    decontaminate.op6_wu_manber_decontamination,
+    token_counts.op8_pretoken_counts,
+    mixing.op9_raked_mixture,
+]
 
 
 def queries() -> dict:
-    return {"op1_chosen_path_near_dedup": near_dedup.op1_chosen_path_near_dedup}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chosen_path_near_dedup": near_dedup.SQL}
+    return {
+        "op1_chosen_path_near_dedup": near_dedup.SQL,
+        "op4_multipart_secrets": secrets.SQL,
+        "op6_wu_manber_decontamination": decontaminate.SQL,
+        "op9_raked_mixture": mixing.SQL,
+    }
