@@ -16,31 +16,22 @@ def connected_components(links: DataFrame, scratch: Scratch, rounds: int = 60) -
     never grows beyond them, and the number of rounds is about the logarithm of the longest
     chain.  Ends when a round changes nothing.  Null ends and self-links are left out.
     """
-    now = scratch.keep(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
-    print_before = None
+    now = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    before = None
     for _ in range(rounds):
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
+        # u's larger neighbours go to m, the least of u and its neighbours
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u")
-        small = (
-            hung.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct()
         after = scratch.keep(small)
-        mark = after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        mark = tuple(after.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         scratch.drop(now)
         now = after
-        if tuple(mark) == print_before:
+        if mark == before:
             break
-        print_before = tuple(mark)
+        before = mark
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()

@@ -14,8 +14,9 @@ zone, those that are surely similar leave the node with that link (anything they
 is, by the triangle inequality of the Jaccard distance, linked or in the doubtful zone).  What is
 still large at ``DEPTH`` is compared in full, block by block.
 
-Links only have to connect the same documents, so a leaf skips a pair that is already connected
-and hands on a spanning forest, never all pairs of a group.
+What may be linked within a leaf forms groups, each confirmed once wherever it was found.  Links only
+have to connect the same documents, so a group skips a pair that is already connected and hands on a
+spanning forest, never all its pairs.
 """
 
 from __future__ import annotations
@@ -24,27 +25,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, _LANES, dealt, mix, pieces, shingle_set, table, whole_groups
+from .common import U64, Scratch, dealt, mix, pieces, shingle_set, table, whole_groups
 from .components import connected_components
 
-POSITIONS, TREES, LEAF, DEPTH, CLUSTER = 128, 16, 512, 10, 2000
-#: Minwise agreement (of POSITIONS) from which a pair is compared in full, and from which it is surely similar: 0.75 -+ 4.7 standard deviations.
-MAYBE, SURE = 0.57, 0.9
+POSITIONS, TREES, LEAF, DEPTH, BROADCAST_HEADS = 128, 16, 2048, 10, 20_000
+#: Minwise agreement (of POSITIONS) from which a pair is compared in full, and from which it is surely similar: 0.75 less 3.7 and more 3.9 standard deviations (0.038).
+MAYBE, SURE = 0.61, 0.9
 
 _MULT = mix(np.arange(1001, 1001 + POSITIONS, dtype=U64)) | U64(1)
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
     """POSITIONS minwise values of a set, as signed 32-bit integers."""
-    out = np.empty(POSITIONS, dtype=np.uint32)
-    for i in range(0, POSITIONS):
-        x = shingles * _MULT[i]
-        x ^= x >> U64(29)
-        out[i] = (x * _LANES[i & 63]).min() >> U64(32)
-    return out.view(np.int32)
+    low = np.full(POSITIONS, U64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(shingles), 1024):
+        # shingle hashes are mixed already: a random odd multiplier orders them anew
+        np.minimum(low, (_MULT[:, None] * shingles[None, at : at + 1024]).min(axis=1), out=low)
+    return (low >> U64(32)).astype(np.uint32).view(np.int32)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,10 @@ def _bounds(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leaf, doc, sk) sorted by leaf -> a spanning forest of the pairs that may be similar."""
+    """(leaf, doc, sk) sorted by leaf -> (grp, doc): the sets of documents of a leaf that may be linked.
+
+    A set is named by its members, so that it is the same set wherever it is found.
+    """
     least = int(MAYBE * POSITIONS)
     for t in whole_groups(batches, "leaf", 20000):
         ids = t.column("doc").to_numpy()
@@ -133,8 +136,12 @@ def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for i, j, _ in _alike(sk[at : at + n], least):
                 for a, b in zip((i + at).tolist(), (j + at).tolist(), strict=True):
                     u.join(a, b)
-        a, b = u.stars()
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+        root = np.fromiter(map(u.find, range(len(ids))), dtype=np.int64, count=len(ids))
+        order = np.argsort(root, kind="stable")
+        begin, n = _bounds(root[order])
+        names = np.add.reduceat(mix(ids[order].view(U64) + U64(3)), begin).view(np.int64)
+        many = np.repeat(n > 1, n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)[many]), pa.array(ids[order][many])], names=["grp", "doc"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -150,7 +157,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grp, doc, text) sorted by grp -> a spanning forest of the true links within each group."""
-    for t in whole_groups(batches, "grp", 1):
+    for t in whole_groups(batches, "grp", 64):
         starts, sizes = _bounds(t.column("grp").to_numpy())
         ids, texts = t.column("doc").to_numpy(), t.column("text")
         out_a, out_b = [], []
@@ -183,7 +190,9 @@ def _leaves(sets: DataFrame, scratch: Scratch, leaf: int, depth: int) -> DataFra
     root = [F.xxhash64(F.lit(t), _token(t * step)) for t in range(TREES)]
     root += [F.xxhash64(F.lit(t), F.lit(-1), _token(t * step + step // 2)) for t in range(0, TREES, 3)]
     rows = sets.select("doc", F.explode(F.array(*root)).alias("node"))
-    out = []
+    first = F.xxhash64("node", _token(f"pmod(node, {POSITIONS})"))
+    second = F.when(F.expr("pmod(shiftright(node, 7), 3) = 0"), F.xxhash64("node", F.lit(2), _token(f"pmod(shiftright(node, 20), {POSITIONS})")))
+    out, held = [], sets
     for level in range(1, depth + 1):
         nodes = scratch.keep(
             rows.groupBy("node")
@@ -192,15 +201,18 @@ def _leaves(sets: DataFrame, scratch: Scratch, leaf: int, depth: int) -> DataFra
         )
         once = nodes.where(F.col("n") <= leaf).groupBy("n", "x", "y").agg(F.min("node").alias("node"))
         out.append(scratch.keep(rows.join(once.select("node"), "node").select(F.col("node").alias("leaf"), "doc")))
-        large = nodes.where(F.col("n") > leaf)
-        if not large.take(1):
-            return _union(out)
-        members = rows.join(large.select("node", "n", "pivot"), "node").join(sets.select("doc", "mh"), "doc")
-        heads = large.select("node", F.col("pivot").alias("doc")).join(sets.select("doc", F.col("mh").alias("head")), "doc").select("node", "head")
-        members = members.join(heads, "node").withColumn(
-            "near", F.expr(f"aggregate(zip_with(mh, head, (p, q) -> int(p = q)), 0, (s, e) -> s + e) / {POSITIONS}D")
-        )
-        members = scratch.keep(members.select("node", "doc", "n", "pivot", "near"))
+        large = scratch.keep(nodes.where(F.col("n") > leaf).select("node", "n", "pivot"))
+        heads = large.count()
+        if not heads:
+            break
+        # only documents of large nodes go on, each with its minwise values once
+        members = scratch.keep(rows.join(large, "node"))
+        held = scratch.keep(held.select("doc", "mh").join(members.select("doc").distinct(), "doc"))
+        head = large.select("node", F.col("pivot").alias("doc")).join(held, "doc").select("node", F.col("mh").alias("head"))
+        head = F.broadcast(head) if heads <= BROADCAST_HEADS else head
+        near = F.expr(f"aggregate(zip_with(mh, head, (p, q) -> int(p = q)), 0, (s, e) -> s + e) / {POSITIONS}D")
+        members = members.join(held, "doc").join(head, "node").select("node", "doc", "n", "pivot", near.alias("near"), first.alias("first"), second.alias("second"))
+        members = scratch.keep(members)
         doubtful = members.groupBy("node").agg(F.max(F.col("near").between(MAYBE, SURE)).alias("doubt"))
         # one representative and a bounded part of the members similar to it, as leaves of their own
         part = members.where(F.col("near") >= MAYBE).select(
@@ -211,16 +223,11 @@ def _leaves(sets: DataFrame, scratch: Scratch, leaf: int, depth: int) -> DataFra
         if level == depth:
             # compared in full: every pair of blocks is a leaf
             blocks = F.greatest(F.lit(2), F.ceil(F.col("n") / (leaf // 2)))
-            mine = F.pmod(F.xxhash64("doc", F.lit(5)), blocks)
-            full = on.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-            out.append(
-                scratch.keep(full.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("leaf"), "doc"))
-            )
-            return _union(out)
-        on = on.join(sets.select("doc", "mh"), "doc")
-        first = F.xxhash64("node", _token(f"pmod(node, {POSITIONS})"))
-        second = F.when(F.expr("pmod(shiftright(node, 7), 3) = 0"), F.xxhash64("node", F.lit(2), _token(f"pmod(shiftright(node, 20), {POSITIONS})")))
-        rows = scratch.keep(on.select("doc", F.explode(F.array_compact(F.array(first, second))).alias("node")))
+            full = on.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc", F.lit(5)), "blocks"))
+            full = full.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            out.append(scratch.keep(full.select(F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other")).alias("leaf"), "doc").distinct()))
+            break
+        rows = scratch.keep(on.select("doc", F.explode(F.array_compact(F.array("first", "second"))).alias("node")))
     return _union(out)
 
 
@@ -231,7 +238,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, *, leaf: int = LEAF, depth: int = DEPTH, cluster: int = CLUSTER) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row for each input row.
 
     Rows are told apart by doc_id; a repeated doc_id with the same text is one document twice, and
@@ -249,20 +256,11 @@ def near_duplicates(docs: DataFrame, *, leaf: int = LEAF, depth: int = DEPTH, cl
     reps = filled.groupBy(*same).agg(F.min_by("mh", "doc_id").alias("mh"), F.min("doc_id").alias("doc"))
     sk = F.expr("unhex(array_join(transform(mh, m -> right(concat('0', hex(m)), 2)), ''))")
     sets = scratch.keep(reps.withColumn("sk", sk))
-    leaves = scratch.keep(_leaves(sets, scratch, leaf, depth))
+    leaves = _leaves(sets, scratch, leaf, depth)
     rows = leaves.join(sets.select("doc", "sk"), "doc").select("leaf", "doc", "sk")
-    maybe = dealt(rows, "leaf").mapInArrow(_compare_leaves, "a long, b long")
-    clusters = scratch.keep(connected_components(maybe, scratch))
-    size = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    member = clusters.join(size, "root")
-    small = member.where(F.col("size") <= cluster).select(F.col("root").alias("grp"), F.col("id").alias("doc"))
-    # within a cluster too large for one task, leaf by leaf
-    big = leaves.join(member.where(F.col("size") > cluster).select(F.col("id").alias("doc"), "root"), "doc").select(
-        F.xxhash64("leaf", "root").alias("grp"), "doc"
-    )
+    groups = scratch.keep(dealt(rows, "leaf").mapInArrow(_compare_leaves, "grp long, doc long").distinct())
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    todo = small.union(big).join(texts, "doc").dropDuplicates(["grp", "doc"]).select("grp", "doc", "text")
-    links = dealt(todo, "grp").mapInArrow(_confirm, "a long, b long")
+    links = dealt(groups.join(texts, "doc").select("grp", "doc", "text"), "grp").mapInArrow(_confirm, "a long, b long")
     # a doc_id that stands for more than one set links them
     own = filled.join(reps.select(*same, "doc"), same).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     twice = own.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, near_dedup, reshard, secrets, token_counts
+from . import decontaminate, language, mixing, near_dedup, reshard, secrets, token_counts, toxicity
 
 QUERIES = [
     near_dedup.op1_chosen_path_near_dedup,
     secrets.op4_multipart_secrets,
     reshard.op5_min_cost_flow_sharding,
     decontaminate.op6_wu_manber_decontamination,
+    language.op7_rank_order_language,
     token_counts.op8_pretoken_counts,
     mixing.op9_raked_mixture,
+    toxicity.op10_crf_toxicity,
 ]
 
 
