@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, near_dedup, reshard, secrets, token_counts, toxicity
+from . import decontaminate, fingerprint, language, mixing, near_dedup, reshard, secrets, substrings, token_counts, toxicity
 
 QUERIES = [
     near_dedup.op1_chosen_path_near_dedup,
+    substrings.op2_columnwise_substrings,
+    fingerprint.op3_improbable_features,
     secrets.op4_multipart_secrets,
     reshard.op5_min_cost_flow_sharding,
     decontaminate.op6_wu_manber_decontamination,
