@@ -144,15 +144,38 @@ def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)[many]), pa.array(ids[order][many])], names=["grp", "doc"])
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """100 * intersection >= 75 * union, on sorted distinct hashes."""
-    n, m = len(a), len(b)
-    if 4 * min(n, m) < 3 * max(n, m):
-        return False
-    both = np.concatenate((a, b))
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= 75 * (n + m - common)
+def _links(sets: list[np.ndarray], u: Union) -> None:
+    """Joins in u the true links: 100 * intersection >= 75 * union, on full sets.
+
+    One row of the comparison at a time: the shingles of a document are marked, and all its candidates
+    that are not connected with it yet are counted together.
+    """
+    n = len(sets)
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = ids.astype(np.int32)
+    end = np.cumsum(size)
+    own = [ids[e - k : e] for e, k in zip(end.tolist(), size.tolist(), strict=True)]
+    mark = np.zeros(int(ids.max()) + 1, dtype=bool)
+    sk = np.stack([minwise(s) for s in sets]).view(np.uint32).astype(np.uint8)
+    least = int(MAYBE * POSITIONS)
+    for i in range(n - 1):
+        near = np.flatnonzero((sk[i + 1 :] == sk[i]).sum(axis=1, dtype=np.uint8) >= least) + i + 1
+        near = near[4 * np.minimum(size[near], size[i]) >= 3 * np.maximum(size[near], size[i])]
+        root = u.find(i)
+        near = [j for j in near.tolist() if u.find(j) != root]
+        if not near:
+            continue
+        mark[own[i]] = True
+        # so many at once that the gathered shingles stay few
+        for at in range(0, len(near), 64):
+            part = near[at : at + 64]
+            got = mark[np.concatenate([own[j] for j in part])]
+            common = np.add.reduceat(got, np.concatenate(([0], np.cumsum(size[part])[:-1])), dtype=np.int64)
+            for j, c in zip(part, common.tolist(), strict=True):
+                if 100 * c >= 75 * (int(size[i]) + int(size[j]) - c):
+                    u.join(i, j)
+        mark[own[i]] = False
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,15 +187,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, n in zip(starts.tolist(), sizes.tolist(), strict=True):
             if n < 2:
                 continue
-            sets = [shingle_set(x.as_py()) for x in texts.slice(at, n)]
-            sk = np.stack([minwise(s) for s in sets]).view(np.uint32).astype(np.uint8)
-            found = list(_alike(sk, int(MAYBE * POSITIONS)))
-            i, j, s = (np.concatenate([f[k] for f in found]) for k in range(3))
             u = Union(n)
-            order = np.argsort(-s.astype(np.int16), kind="stable")
-            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                if u.find(a) != u.find(b) and similar(sets[a], sets[b]):
-                    u.join(a, b)
+            _links([shingle_set(x.as_py()) for x in texts.slice(at, n)], u)
             a, b = u.stars()
             out_a.append(ids[at : at + n][a])
             out_b.append(ids[at : at + n][b])
@@ -260,7 +276,7 @@ def near_duplicates(docs: DataFrame, *, leaf: int = LEAF, depth: int = DEPTH) ->
     rows = leaves.join(sets.select("doc", "sk"), "doc").select("leaf", "doc", "sk")
     groups = scratch.keep(dealt(rows, "leaf").mapInArrow(_compare_leaves, "grp long, doc long").distinct())
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    links = dealt(groups.join(texts, "doc").select("grp", "doc", "text"), "grp").mapInArrow(_confirm, "a long, b long")
+    links = dealt(groups.hint("merge").join(texts, "doc").select("grp", "doc", "text"), "grp").mapInArrow(_confirm, "a long, b long")
     # a doc_id that stands for more than one set links them
     own = filled.join(reps.select(*same, "doc"), same).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     twice = own.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).where("lo <> hi")
