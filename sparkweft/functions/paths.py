@@ -73,7 +73,7 @@ def is_concept(query: Column) -> Column:
     return (F.size(F.split(F.trim(query), r"\s+")) >= 4) | F.lower(query).rlike(CONCEPT_HINTS)
 
 
-def test_focused(query: Column) -> Column:
+def is_test_focused(query: Column) -> Column:
     return F.arrays_overlap(F.split(F.trim(F.lower(query)), r"\s+"), F.array(*map(F.lit, TEST_TERMS)))
 
 

@@ -82,7 +82,7 @@ def all_queries(spark, d):
 )
 def query_shape(spark, d):
     q = F.col("query")
-    return all_queries(spark, d).select("query_id", P.query_intent(q).alias("intent"), P.looks_like_symbol(q).alias("symbol_like"), P.is_concept(q).alias("concept"), P.test_focused(q).alias("test_focused"), P.adaptive_cap(q, F.lit(False)).alias("cap"))
+    return all_queries(spark, d).select("query_id", P.query_intent(q).alias("intent"), P.looks_like_symbol(q).alias("symbol_like"), P.is_concept(q).alias("concept"), P.is_test_focused(q).alias("test_focused"), P.adaptive_cap(q, F.lit(False)).alias("cap"))
 
 
 PARENT = "regexp_replace(path, '/?[^/]*$', '')"
