@@ -64,9 +64,11 @@ def hash_embeddings(docs: DataFrame, key: str, text: str, dims: int = 32) -> Dat
     """(key, embedding): a deterministic unit vector from the bytes of each text's SHA-256."""
     rows = docs.select(key, F.sha2(F.col(text).cast("binary"), 256).alias("h"))
     byte = lambda i: F.conv(F.substr("h", (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 255 - 0.5
-    rows = rows.withColumn("raw", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), byte))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, e: s + e * e)))
-    return rows.select(key, F.transform("raw", lambda e: e / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("embedding"))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), byte)
+    # lambda variables hold the vector and its norm, so that neither is computed again for each element
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
+    scaled = lambda v: F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda e: e / F.when(n == 0, 1.0).otherwise(n))), 0)
+    return rows.select(key, F.get(F.transform(F.array(raw), scaled), 0).alias("embedding"))
 
 
 def query_first(lists: dict[str, DataFrame], shape: DataFrame, limit: int = 30, k: int = CONFIG.rrf_k) -> DataFrame:
