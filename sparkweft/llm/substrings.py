@@ -12,8 +12,9 @@ two that become neighbours is one more than the least of those between them.  A
 that prefix with a neighbour has ``length``.  Columns of a large batch lie in a sequential temporary
 file, so memory grows with the number of segments, not with their bytes.
 
-Copies of a whole text are one text (and all repeated).  Anchors with more than ``HOT`` segments are split by
-further anchors of the windows within each segment, and equal pieces are merged before they meet.
+Copies of a whole text are one text (and all repeated).  Runs of anchors that occur more than ``HOT`` times are
+split by further anchors of their windows, ``LEVELS`` times at most; their parts are counted before their bytes
+move, and equal parts are merged before they meet.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import BYTE, U64, Scratch, dealt, mix, pieces, prefix_hash, range_hash, table, whole_groups
 
-LENGTH, GRAM, HOT, BATCH, IN_MEMORY = 400, 32, 20_000, 8192, 64 << 20
+LENGTH, GRAM, HOT, LEVELS, BATCH, IN_MEMORY = 400, 32, 20_000, 6, 8192, 64 << 20
 _CHUNK = 1 << 22
 
 
@@ -135,38 +136,67 @@ def _anchors(length: int, gram: int):
     return run
 
 
-def _segments(length: int, gram: int):
+def _parts(h: np.ndarray, width: int, final: set[int], hot: set[int], levels: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(level, key, first window, last window, anchor) of the runs that are final, or reach the last level.
+
+    A run with a hot anchor is split by further anchors, of its windows under another hash; equal windows
+    are split alike, and a part is named by all its anchors.
+    """
+    a, b, p = runs(h, width)
+    now = list(zip(h[p].view(np.int64).tolist(), a.tolist(), b.tolist(), p.tolist(), strict=True))
+    for level in range(levels + 1):
+        split = []
+        for part in now:
+            if level == levels or part[0] in final:
+                yield level, *part
+            elif part[0] in hot:
+                split.append(part)
+        now = []
+        for key, s, e, _ in split:
+            g = mix(h[s : e + width] + U64(level + 1))
+            x, y, q = runs(g, width)
+            names = mix(g[q] ^ U64(key & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+            now += [(n, s + u, s + v, s + w) for n, u, v, w in zip(names.tolist(), x.tolist(), y.tolist(), q.tolist(), strict=True)]
+        if not now:
+            return
+
+
+def _finer(length: int, gram: int, level: int):
+    """(text, sha, hot) -> (sha, keys): the names of the parts of hot runs at a level, each as often as it occurs."""
     width = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
-            key, own, first, rel, seg, hot = [], [], [], [], [], []
-            for text, sha, wanted, deep in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            keys = []
+            for text, hot in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h = gram_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), gram)
+                keys.append([x[1] for x in _parts(h, width, set(), set(hot), level)])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["sha", "keys"])
+
+    return run
+
+
+def _segments(length: int, gram: int, levels: int):
+    width = length - gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 1 << 20):
+            key, own, first, rel, seg, deep = [], [], [], [], [], []
+            for text, sha, final, hot in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                name = bytes.fromhex(sha[:32])
+                name, final = bytes.fromhex(sha[:32]), set(final or ())
                 h = gram_hashes(np.frombuffer(raw, dtype=np.uint8), gram)
-                a, b, p = runs(h, width)
-                k = h[p].view(np.int64)
-                depth = dict(zip(wanted, deep, strict=True))
-                for i in np.flatnonzero(np.isin(k, wanted)).tolist():
-                    parts = [(int(k[i]), int(a[i]), int(b[i]), int(p[i]))]
-                    for level in range(depth[int(k[i])]):  # further anchors of the windows of a hot run
-                        finer = []
-                        for kk, s, e, at in parts:
-                            g = mix(h[s : e + width] + U64(level + 1))
-                            x, y, q = runs(g, width)
-                            names = mix(g[q] ^ U64(kk & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-                            finer += [(int(n), s + int(u), s + int(v), s + int(w)) for n, u, v, w in zip(names, x, y, q, strict=True)]
-                        parts = finer
-                    for kk, s, e, at in parts:
-                        key.append(kk)
-                        own.append(name)
-                        first.append(s)
-                        rel.append(at - s)
-                        seg.append(raw[s : e + length])
-                        hot.append(depth[int(k[i])] > 0)
+                for level, k, s, e, at in _parts(h, width, final, set(hot or ()), levels):
+                    if k not in final:
+                        continue
+                    key.append(k)
+                    own.append(name)
+                    first.append(s)
+                    rel.append(at - s)
+                    seg.append(raw[s : e + length])
+                    deep.append(level > 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(own, pa.binary()), pa.array(first, pa.int64()), pa.array(rel, pa.int32()), pa.array(seg, pa.binary()), pa.array(hot, pa.bool_())],
+                [pa.array(key, pa.int64()), pa.array(own, pa.binary()), pa.array(first, pa.int64()), pa.array(rel, pa.int32()), pa.array(seg, pa.binary()), pa.array(deep, pa.bool_())],
                 names=["key", "own", "first", "rel", "seg", "hot"],
             )
 
@@ -241,14 +271,34 @@ def repeated_substrings(docs: DataFrame, *, length: int = LENGTH, gram: int = GR
     known = scratch.keep(docs.mapInArrow(_anchors(length, gram), "doc_id long, n_bytes long, sha string, keys array<long>"))
     texts = known.groupBy("sha").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("keys").alias("keys"))
     texts = scratch.keep(texts)
-    at = texts.select("sha", F.explode("keys").alias("key"))
-    shared = at.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    depth = F.when(F.col("n") <= hot, F.lit(0)).otherwise(F.least(F.lit(6), F.lit(1) + F.ceil(F.log2(F.col("n") / hot)))).cast("int")
-    wanted = at.join(shared.select("key", depth.alias("deep")), "key").groupBy("sha").agg(F.collect_set(F.struct("key", "deep")).alias("w"))
     by_sha = docs.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    at = texts.select("sha", F.explode("keys").alias("key"))
+    final, hots, level = [], None, 0
+    while True:
+        counts = scratch.keep(at.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        last = level == LEVELS or not counts.where(F.col("n") > hot).take(1)
+        good = counts if last else counts.where(F.col("n") <= hot)
+        final.append(at.join(good.select("key"), "key").select("sha", "key").distinct())
+        if last:
+            break
+        # runs of hot anchors: their parts are counted by further anchors before any bytes move
+        mine = at.join(counts.where(F.col("n") > hot).select("key"), "key").select("sha", "key").distinct()
+        hots = scratch.keep(mine if hots is None else hots.union(mine))
+        sets = hots.groupBy("sha").agg(F.collect_set("key").alias("hot"))
+        level += 1
+        again = by_sha.join(sets, "sha").dropDuplicates(["sha"]).select("text", "sha", "hot")
+        at = scratch.keep(again.mapInArrow(_finer(length, gram, level), "sha string, keys array<long>")).select("sha", F.explode("keys").alias("key"))
+    wanted = final[0]
+    for df in final[1:]:
+        wanted = wanted.union(df)
+    wanted = wanted.groupBy("sha").agg(F.collect_set("key").alias("final"))
+    has_hot = level > 0
+    if has_hot:
+        wanted = wanted.join(hots.groupBy("sha").agg(F.collect_set("key").alias("hot")), "sha", "left")
+    else:
+        wanted = wanted.withColumn("hot", F.lit(None).cast("array<bigint>"))
     first = by_sha.join(scratch.keep(wanted), "sha").dropDuplicates(["sha"])
-    segs = first.select("text", "sha", F.expr("w.key"), F.expr("w.deep")).mapInArrow(_segments(length, gram), "key long, own binary, first long, rel int, seg binary, hot boolean")
-    has_hot = bool(shared.where(F.col("n") > hot).take(1))
+    segs = first.select("text", "sha", "final", "hot").mapInArrow(_segments(length, gram, level), "key long, own binary, first long, rel int, seg binary, hot boolean")
     out = "own binary, first long, lo long, hi long"
     if not has_hot:
         rows = segs.select("key", "own", "first", "rel", "seg", F.lit(1).cast("long").alias("n"))
