@@ -162,16 +162,21 @@ def _parts(h: np.ndarray, width: int, final: set[int], hot: set[int], levels: in
 
 
 def _finer(length: int, gram: int, level: int):
-    """(text, sha, hot) -> (sha, keys): the names of the parts of hot runs at a level, each as often as it occurs."""
+    """(text, sha, hot) -> (sha, key, id) of the parts of hot runs at a level (at level 0, the hot runs): their names and a hash of their bytes."""
     width = length - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
-            keys = []
-            for text, hot in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                h = gram_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8), gram)
-                keys.append([x[1] for x in _parts(h, width, set(), set(hot), level)])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["sha", "keys"])
+            shas, keys, ids = [], [], []
+            for text, sha, hot in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                raw, hot = text.encode("utf-8", "surrogatepass"), set(hot)
+                h = gram_hashes(np.frombuffer(raw, dtype=np.uint8), gram)
+                for _, k, s, e, at in _parts(h, width, set(), hot, level):
+                    if level or k in hot:
+                        shas.append(sha)
+                        keys.append(k)
+                        ids.append(hashlib.md5(b"%d:" % (at - s) + raw[s : e + length]).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["sha", "key", "id"])
 
     return run
 
@@ -181,24 +186,23 @@ def _segments(length: int, gram: int, levels: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
-            key, own, first, rel, seg, deep = [], [], [], [], [], []
+            rows: list[tuple] = []
             for text, sha, final, hot in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                name, final = bytes.fromhex(sha[:32]), set(final or ())
+                name, final, hot = bytes.fromhex(sha[:32]), set(final or ()), set(hot or ())
                 h = gram_hashes(np.frombuffer(raw, dtype=np.uint8), gram)
-                for level, k, s, e, at in _parts(h, width, final, set(hot or ()), levels):
+                alike: dict[tuple, list[int]] = {}
+                for level, k, s, e, at in _parts(h, width, final, hot, levels):
                     if k not in final:
                         continue
-                    key.append(k)
-                    own.append(name)
-                    first.append(s)
-                    rel.append(at - s)
-                    seg.append(raw[s : e + length])
-                    deep.append(level > 0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(own, pa.binary()), pa.array(first, pa.int64()), pa.array(rel, pa.int32()), pa.array(seg, pa.binary()), pa.array(deep, pa.bool_())],
-                names=["key", "own", "first", "rel", "seg", "hot"],
-            )
+                    if level or k in hot:
+                        alike.setdefault((k, at - s, raw[s : e + length]), []).append(s)
+                    else:
+                        rows.append((k, name, [s], at - s, raw[s : e + length], False))
+                rows += [(k, name, starts, r, seg, True) for (k, r, seg), starts in alike.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(6)]
+            types = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "own", "first", "rel", "seg", "hot"])
 
     return run
 
@@ -273,47 +277,49 @@ def repeated_substrings(docs: DataFrame, *, length: int = LENGTH, gram: int = GR
     texts = scratch.keep(texts)
     by_sha = docs.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     at = texts.select("sha", F.explode("keys").alias("key"))
-    final, hots, level = [], None, 0
-    while True:
-        counts = scratch.keep(at.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-        last = level == LEVELS or not counts.where(F.col("n") > hot).take(1)
-        good = counts if last else counts.where(F.col("n") <= hot)
-        final.append(at.join(good.select("key"), "key").select("sha", "key").distinct())
-        if last:
-            break
-        # runs of hot anchors: their parts are counted by further anchors before any bytes move
-        mine = at.join(counts.where(F.col("n") > hot).select("key"), "key").select("sha", "key").distinct()
+    counts = scratch.keep(at.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    final = [at.join(counts.where(F.col("n") <= hot).select("key"), "key").select("sha", "key").distinct()]
+    crowd, hots, level = counts.where(F.col("n") > hot), None, 0
+    while crowd.take(1):
+        # crowded anchors: equal pieces count once, by a hash of their bytes; if the different ones are few they
+        # can meet, else further anchors split them, and their parts are counted before any bytes move
+        mine = at.join(crowd.select("key"), "key").select("sha", "key").distinct()
         hots = scratch.keep(mine if hots is None else hots.union(mine))
-        sets = hots.groupBy("sha").agg(F.collect_set("key").alias("hot"))
-        level += 1
-        again = by_sha.join(sets, "sha").dropDuplicates(["sha"]).select("text", "sha", "hot")
-        at = scratch.keep(again.mapInArrow(_finer(length, gram, level), "sha string, keys array<long>")).select("sha", F.explode("keys").alias("key"))
+        again = by_sha.join(hots.groupBy("sha").agg(F.collect_set("key").alias("hot")), "sha").dropDuplicates(["sha"]).select("text", "sha", "hot")
+        at = scratch.keep(again.mapInArrow(_finer(length, gram, level), "sha string, key long, id binary"))
+        counts = scratch.keep(at.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("id").alias("kinds")).where("n > 1"))
+        crowd = counts.where(F.lit(level < LEVELS) & (F.col("kinds") > hot))
+        good = counts.where(F.lit(level == LEVELS) | (F.col("kinds") <= hot))
+        final.append(at.join(good.select("key"), "key").select("sha", "key").distinct())
+        at, level = at.select("sha", "key"), level + 1
+    levels = max(0, level - 1)
     wanted = final[0]
     for df in final[1:]:
         wanted = wanted.union(df)
     wanted = wanted.groupBy("sha").agg(F.collect_set("key").alias("final"))
-    has_hot = level > 0
+    has_hot = hots is not None
     if has_hot:
         wanted = wanted.join(hots.groupBy("sha").agg(F.collect_set("key").alias("hot")), "sha", "left")
     else:
         wanted = wanted.withColumn("hot", F.lit(None).cast("array<bigint>"))
     first = by_sha.join(scratch.keep(wanted), "sha").dropDuplicates(["sha"])
-    segs = first.select("text", "sha", "final", "hot").mapInArrow(_segments(length, gram, level), "key long, own binary, first long, rel int, seg binary, hot boolean")
-    out = "own binary, first long, lo long, hi long"
+    segs = first.select("text", "sha", "final", "hot").mapInArrow(_segments(length, gram, levels), "key long, own binary, first array<long>, rel int, seg binary, hot boolean")
+    out = "own binary, first array<long>, lo long, hi long"
     if not has_hot:
         rows = segs.select("key", "own", "first", "rel", "seg", F.lit(1).cast("long").alias("n"))
         hits = dealt(rows, "key").mapInArrow(_find(length, gram), out)
     else:
         segs = scratch.keep(segs)
         named = segs.where("hot").withColumn("id", F.md5(F.concat(F.col("key").cast("string").cast("binary"), F.col("rel").cast("string").cast("binary"), F.col("seg"))))
-        once = named.groupBy("key", "rel", "seg", "id").agg(F.count("*").alias("n"))
+        once = named.groupBy("key", "rel", "seg", "id").agg(F.sum(F.size("first")).alias("n"))
         both = segs.where("not hot").select("key", "own", "first", "rel", "seg", F.lit(1).cast("long").alias("n"))
-        both = both.union(once.select("key", F.col("id").cast("binary"), F.lit(0).cast("long"), "rel", "seg", "n"))
+        both = both.union(once.select("key", F.col("id").cast("binary"), F.array().cast("array<bigint>"), "rel", "seg", "n"))
         hits = scratch.keep(dealt(both, "key").mapInArrow(_find(length, gram), out))
         plain = hits.where(F.length("own") == 16)
         back = hits.where(F.length("own") == 32).select(F.col("own").cast("string").alias("id"), "lo", "hi").join(named.select("id", "own", "first"), "id")
         hits = plain.select("own", "first", "lo", "hi").union(back.select("own", "first", "lo", "hi"))
-    spans = hits.groupBy("own").agg(F.collect_set(F.struct((F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))).alias("s"))
+    each = F.expr("transform(first, f -> named_struct('lo', f + lo, 'hi', f + hi))")
+    spans = hits.groupBy("own").agg(F.flatten(F.collect_list(each)).alias("s"))
     spans = scratch.keep(spans.select(F.lower(F.hex("own")).alias("own"), F.expr("s.lo"), F.expr("s.hi")))
     # texts of which only parts go; whole copies are known already
     single = texts.where("copies = 1").select("sha", F.substring("sha", 1, 32).alias("own")).join(spans, "own").select("sha", "lo", "hi")
