@@ -184,7 +184,3 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iter
             held, count = rest.to_batches(), rest.num_rows
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
-
-
-def column(rows, name: str, default=None):
-    return F.col(name) if name in rows.columns else F.lit(default)
