@@ -11,7 +11,8 @@ a pair at 0.75 in nodes of depth two is missed by 16 trees with a chance below 1
 Nodes that stay large hold very similar documents or very common tokens.  Before it branches on,
 such a node compares its members with one representative; if there is no member in the doubtful
 zone, those that are surely similar leave the node with that link (anything they are linked with
-is, by the triangle inequality of the Jaccard distance, linked or in the doubtful zone).  What is
+is, by the triangle inequality of the Jaccard distance, linked or in the doubtful zone, but for the
+error of the minwise estimates).  What is
 still large at ``DEPTH`` is compared in full, block by block.
 
 What may be linked within a leaf forms groups, each confirmed once wherever it was found.  Links only
@@ -32,8 +33,9 @@ from .common import U64, Scratch, dealt, mix, pieces, shingle_set, table, whole_
 from .components import connected_components
 
 POSITIONS, TREES, LEAF, DEPTH, BROADCAST_HEADS = 128, 16, 2048, 10, 20_000
-#: Minwise agreement (of POSITIONS) from which a pair is compared in full, and from which it is surely similar: 0.75 less 3.7 and more 3.9 standard deviations (0.038).
-MAYBE, SURE = 0.61, 0.9
+#: Minwise agreement (of POSITIONS) from which a pair is compared in full, and from which it is surely similar: 0.75 less 4.7 and more 3.9 standard deviations (0.038).
+#: All trees share the same minwise values, so a pair below MAYBE is missed by all: at exactly 0.75 with a chance of 1.2e-6 (binomial, fewer than 72 of 128).
+MAYBE, SURE = 0.57, 0.9
 
 _MULT = mix(np.arange(1001, 1001 + POSITIONS, dtype=U64)) | U64(1)
 
@@ -147,35 +149,48 @@ def _compare_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _links(sets: list[np.ndarray], u: Union) -> None:
     """Joins in u the true links: 100 * intersection >= 75 * union, on full sets.
 
-    One row of the comparison at a time: the shingles of a document are marked, and all its candidates
-    that are not connected with it yet are counted together.
+    One row of the comparison at a time, with the later documents of a fitting size that are not connected
+    with it yet.  What they share is counted the cheaper way: from the documents that hold its shingles, or
+    from their shingles that it holds.  Both ways are exact.
     """
     n = len(sets)
     size = np.fromiter(map(len, sets), dtype=np.int64, count=n)
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ids = ids.astype(np.int32)
+    _, ids, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     end = np.cumsum(size)
     own = [ids[e - k : e] for e, k in zip(end.tolist(), size.tolist(), strict=True)]
-    mark = np.zeros(int(ids.max()) + 1, dtype=bool)
-    sk = np.stack([minwise(s) for s in sets]).view(np.uint32).astype(np.uint8)
-    least = int(MAYBE * POSITIONS)
+    # the documents that hold a shingle stand together, in their order
+    holders = np.repeat(np.arange(n, dtype=np.int32), size)[np.argsort(ids, kind="stable")]
+    first = np.cumsum(held) - held
+    mark = np.zeros(len(held), dtype=bool)
+    root = np.arange(n)
     for i in range(n - 1):
-        near = np.flatnonzero((sk[i + 1 :] == sk[i]).sum(axis=1, dtype=np.uint8) >= least) + i + 1
-        near = near[4 * np.minimum(size[near], size[i]) >= 3 * np.maximum(size[near], size[i])]
-        root = u.find(i)
-        near = [j for j in near.tolist() if u.find(j) != root]
-        if not near:
+        near = np.flatnonzero((root[i + 1 :] != root[i]) & (4 * np.minimum(size[i + 1 :], size[i]) >= 3 * np.maximum(size[i + 1 :], size[i]))) + i + 1
+        if not len(near):
             continue
-        mark[own[i]] = True
-        # so many at once that the gathered shingles stay few
-        for at in range(0, len(near), 64):
-            part = near[at : at + 64]
-            got = mark[np.concatenate([own[j] for j in part])]
-            common = np.add.reduceat(got, np.concatenate(([0], np.cumsum(size[part])[:-1])), dtype=np.int64)
-            for j, c in zip(part, common.tolist(), strict=True):
-                if 100 * c >= 75 * (int(size[i]) + int(size[j]) - c):
-                    u.join(i, j)
-        mark[own[i]] = False
+        many = held[own[i]]
+        if many.sum() <= size[near].sum():
+            shared = own[i][many > 1]
+            common = np.zeros(n, dtype=np.int64)
+            # so many at once that the gathered holders stay few
+            step = max(1, (1 << 22) // n)
+            for at in range(0, len(shared), step):
+                part = shared[at : at + step]
+                k = held[part]
+                to = np.cumsum(k)
+                common += np.bincount(holders[np.arange(to[-1]) + np.repeat(first[part] - to + k, k)], minlength=n)
+            common = common[near]
+        else:
+            mark[own[i]] = True
+            common = np.empty(len(near), dtype=np.int64)
+            # so many at once that the gathered shingles stay few
+            for at in range(0, len(near), 64):
+                part = near[at : at + 64]
+                got = mark[np.concatenate([own[j] for j in part])]
+                common[at : at + 64] = np.add.reduceat(got, np.concatenate(([0], np.cumsum(size[part])[:-1])), dtype=np.int64)
+            mark[own[i]] = False
+        for j in near[100 * common >= 75 * (size[i] + size[near] - common)].tolist():
+            u.join(i, j)
+            root[root == root[j]] = root[i]
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
