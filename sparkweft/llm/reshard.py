@@ -173,15 +173,26 @@ def reshard(docs: DataFrame, *, shards: int = SHARDS, old_shards: int = OLD, buc
 
 
 def rewrite(docs: DataFrame, plan: DataFrame, folder: str) -> DataFrame:
-    """Writes the rows of ``docs`` whose shard changes as files of their new shards, and returns that table.
+    """Writes the files of the affected shards, with all their rows, and returns that table.
 
-    Only affected shards get files; a shard number that keeps its rows needs none.  Joined by doc_id.
+    A shard is affected if a row leaves or enters it; it is written whole.  One that keeps its rows gets no file,
+    nor does one that has none left: its old files go.  ``plan`` is the result of reshard over the same
+    rows: each row takes one row of the plan of its doc_id (or null), size and CRC.
     """
-    moved = plan.where("shard <> old_shard").select("doc_id", "shard", "slot")
+    key = ["doc_id", "size", "text_crc32"]
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.monotonically_increasing_id())).alias("nth")
+    # rows alike in the key are alike in text: which takes which slot does not matter
+    moved = plan.where("shard <> old_shard")
+    hit = moved.select("shard").union(moved.select("old_shard")).distinct()
+    places = plan.select(*key, "shard", "slot", nth)
+    places = places.select(*(F.col(c).alias(f"plan_{c}") for c in [*key, "nth"]), "shard", "slot").join(F.broadcast(hit), "shard", "left_semi")
     clash = [c for c in ("shard", "slot") if c in docs.columns]
-    out = docs.drop(*clash).join(moved, "doc_id")
+    rows = docs.select(F.struct(*(c for c in docs.columns if c not in clash)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *sizes_of(docs)[:2])
+    rows = rows.select("row", *key, nth)
+    same = [F.col(c).eqNullSafe(F.col(f"plan_{c}")) for c in [*key, "nth"]]
+    out = rows.join(places, same).select("row.*", "slot", "shard")
     out.repartition("shard", F.pmod(F.xxhash64("slot"), F.lit(16))).write.partitionBy("shard").mode("overwrite").parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+    return docs.sparkSession.read.schema(out.schema).parquet(folder)
 
 
 def op5_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

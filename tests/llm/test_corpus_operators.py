@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkweft.llm import decontaminate as D
 from sparkweft.llm import fingerprint as P
@@ -234,3 +235,20 @@ def test_sql(spark, name):
     assert cols == sorted(want.columns)
     rows = lambda df: sorted(tuple(map(str, r)) for r in df[cols].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_rewrite_writes_affected_shards_whole(spark, tmp_path):
+    """Sources and targets with all their rows, null and repeated ids among them; others get no file."""
+    rows = [(i % 7 if i % 3 else None, f"text {i % 11} " * (i % 5), f"r{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    plan = R.reshard(docs, shards=3, old_shards=2, buckets=4).localCheckpoint()
+    # one more shard, which keeps its rows
+    still = spark.createDataFrame([(100 + i, "still", "s") for i in range(3)], docs.schema)
+    more = still.select("doc_id", *R.sizes_of(still)[:2], F.lit("bytes").alias("law"), F.lit(7).alias("shard"), (F.col("doc_id") - 100).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(7).alias("old_shard"))
+    whole = plan.unionByName(more).localCheckpoint()
+    got = R.rewrite(docs.union(still), whole, f"file://{tmp_path}/out")
+    assert got.columns == ["doc_id", "text", "tag", "slot", "shard"]
+    places = {(r["shard"], r["slot"]): (r["doc_id"], r["size"], r["text_crc32"]) for r in plan.collect()}
+    out = got.collect()
+    assert sorted(r["tag"] for r in out) == sorted(t for _, _, t in rows)
+    assert {(r["shard"], r["slot"]): (r["doc_id"], len(r["text"]) + R.OVERHEAD, zlib.crc32(r["text"].encode())) for r in out} == places
