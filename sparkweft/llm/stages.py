@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language, mixing, near_dedup, reshard
-from .common import pieces, table
+from .common import Scratch, pieces, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,10 +18,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("near_kept_id")).distinct()
-    cols = docs.columns
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("near_kept_id"), "left_semi").dropDuplicates(["doc_id"]).select(*cols)
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id.
+
+    Texts are told apart, not ids: of different texts under one doc_id the first by hash goes by that id, the
+    others, and every text without an id, by a hash of id and text above 2**62.  Null or blank texts of one such key stay once.
+    """
+    scratch = Scratch(spark, "near-stage")
+    doc, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    ids = docs.select(doc.alias("near_doc"), text.alias("near_text")).where("near_doc is not null")
+    odd = ids.groupBy("near_doc").agg(F.min("near_text").alias("near_first"), F.max("near_text").alias("near_last")).where("near_first <> near_last")
+    keyed = docs.join(scratch.keep(odd).drop("near_last"), doc == F.col("near_doc"), "left")
+    own = F.xxhash64(doc, text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = scratch.keep(keyed.withColumn("near_key", F.when(doc.isNull() | (text != F.col("near_first")), own).otherwise(doc)))
+    kept = near_dedup.near_duplicates(keyed.select(F.col("near_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("near_key")).distinct()
+    return keyed.join(kept, "near_key", "left_semi").dropDuplicates(["near_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

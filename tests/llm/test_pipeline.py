@@ -5,6 +5,7 @@ from sparkweft.llm import decontaminate as D
 from sparkweft.llm import language as L
 from sparkweft.llm import mixing as M
 from sparkweft.llm import near_dedup as N
+from sparkweft.llm import stages
 from test_near_dedup import brute
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +40,16 @@ def test_stages_take_the_edge_cases(spark, edge, empty):
             if name != "sharding":
                 assert out.columns == docs.columns
             assert out.count() <= docs.count()
+
+
+def test_near_dedup_stage_keeps_texts_without_or_under_one_id(spark):
+    """Clean texts stay whatever their ids; near copies go, with or without an id."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " end"
+    rows = [(None, text(1)), (None, text(2)), (None, near(2)), (5, text(3)), (5, text(4)), (5, text(5)), (5, text(3)), (7, near(4)), (9, text(6)), (None, near(6)), (2, near(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in stages.near_dedup_stage(spark, docs, SF).collect()]
+    assert len(got) == len(set(got)) == 6
+    groups = [{text(1)}, {text(2), near(2)}, {text(3)}, {text(4), near(4)}, {text(5), near(5)}, {text(6), near(6)}]
+    assert all(sum(t in g for _, t in got) == 1 for g in groups)
+    assert (9, text(6)) in got and (2, near(5)) in got
