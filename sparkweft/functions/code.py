@@ -23,7 +23,7 @@ MAX_BODY = 5000
 
 def imports(text: Column) -> Column:
     """Distinct import targets, in the order of their forms."""
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.substring(text, 1, 10_000), F.lit("(?m)" + p), F.lit(1)) for p in IMPORT_FORMS])))
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?m)" + p), F.lit(1)) for p in IMPORT_FORMS])))
 
 
 def refs(text: Column) -> Column:

@@ -88,3 +88,10 @@ def test_code():
     assert [(c[0], c[1], c[2]) for c in K.chunks_of(text)] == [("A", 1, 4), ("run", 2, 4), ("main", 5, 6)]
     assert K.normalized("a/./b/../c.py") == "a/c.py"
     assert K.pruned("\n".join(f"line {i}" for i in range(100)), ["line 7"]).split("\n")[:2] == ["line 0", "line 1"]
+
+
+def test_imports_of_long_texts(spark):
+    """Imports far down a text are found."""
+    text = "import a\n" + "x = 1\n" * 5000 + "from b.c import d\n"
+    rows = spark.createDataFrame([(text,)], "t string").select(K.imports(F.col("t"))).collect()
+    assert rows[0][0] == ["a", "b.c"]
