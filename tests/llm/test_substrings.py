@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -51,3 +52,46 @@ def test_file_columns(monkeypatch, spark):
 
 def test_empty(empty):
     assert S.repeated_substrings(empty).count() == 0
+
+
+def passages(rows, width):
+    """Words and maximal runs of words in windows of ``width`` words that another document has too."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    told = [(d, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower))) for d, t in rows]
+    where = collections.defaultdict(set)
+    for n, (_, w) in enumerate(told):
+        for i in range(len(w) - width + 1):
+            where[tuple(w[i : i + width])].add(n)
+    out = []
+    for d, w in told:
+        spans = S.merged([(i, i + width) for i in range(len(w) - width + 1) if len(where[tuple(w[i : i + width])]) > 1])
+        out.append((d, len(w), sum(b - a for a, b in spans), len(spans)))
+    return sorted(out)
+
+
+def told(df):
+    return sorted(tuple(r) for r in df.select("doc_id", "n_words", "n_passage_words", "n_passages").collect())
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_passages_across_documents(spark, hot):
+    """Passages below and above 400 bytes, one common line, repeats within one document, copies and blank changes."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(1, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    line, rows = text(60), []
+    for size in (49, 50, 51, 70, 120):
+        p = text(size)
+        rows += [text(30) + " " + p + " " + text(25), text(10) + "\n" + p.upper().replace(" ", "\t ", 3), p]
+    rows += [text(20) + "\n" + line + "\n" + text(20) for _ in range(12)]
+    own = text(55)
+    rows += [own + " . " + own, text(300), "w " * 200, "w " * 120 + "v", text(20), None, rows[0], line]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.repeated_substrings(df, hot=hot)
+    assert told(got) == passages(rows, 50)
+    assert result(got) == brute(rows, 400)
+
+
+def test_passages_of_edge_cases(edge, edge_rows):
+    assert told(S.repeated_substrings(edge)) == passages([(r[0], r[1]) for r in edge_rows], 50)
