@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from .common import pieces, table
 
 PROFILE, SHARPNESS, MAX_LANGUAGES = 300, 40.0, 20_000
+#: Out-of-place distance (0 to 1) from which a text is in none of the learned languages: prose is below 0.6, another script at 1.
+FARTHEST = 0.75
+#: Distinct n-grams below which the distance says too little to turn a text away.
+TELLING = 50
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -75,16 +79,21 @@ class Profiles:
             self.rank[np.searchsorted(self.codes, ranks[lang]), j] = np.arange(len(ranks[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        lang, score, _ = self.closest(text)
+        return lang, score
+
+    def closest(self, text: str | None) -> tuple[str, float, float]:
+        """Language, its share among the languages (sharpened by distance), its distance (0 where there are too few n-grams to tell)."""
         own = ranked(grams(text), self.k)
         if not len(own) or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 1.0
         at = np.searchsorted(self.codes, own)
         known = at < len(self.codes)
         known[known] = self.codes[at[known]] == own[known]
         place = self.rank[np.where(known, at, len(self.codes))]
         far = np.where(place < 0, self.k, np.abs(place - np.arange(len(own), dtype=np.int32)[:, None])).sum(axis=0) / (self.k * len(own))
         best = int(np.argmin(far))
-        return self.langs[best], float(1 / np.exp((far[best] - far) * SHARPNESS).sum())
+        return self.langs[best], float(1 / np.exp((far[best] - far) * SHARPNESS).sum()), float(far[best]) if len(own) >= TELLING else 0.0
 
 
 def learn_profiles(labelled: DataFrame, *, k: int = PROFILE) -> Profiles:
@@ -121,22 +130,28 @@ def identify(docs: DataFrame, *, k: int = PROFILE) -> DataFrame:
     """(doc_id, text, lang, ...) -> doc_id, held_out, lang_pred, score; one row for each input row.
 
     Learns from the rows that are not held out.  A null text, or one without a letter, is ``und`` with
-    score 0, as is everything if no row is labelled.  Repeated rows repeat (and count as often); other
-    columns are not read.
+    score 0, as is everything if no row is labelled.  Repeated rows repeat (and count as often).  Equal distances go to the
+    language first by name.  Long texts are read whole.  An empty table gives an empty result; other columns of any name are not read.
     """
     model = learn_profiles(docs.where(~held_out()), k=k)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held_out"))
     return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, *, k: int = PROFILE) -> DataFrame:
-    """The documents, all columns, whose language could be told."""
+def accepted(docs: DataFrame, *, k: int = PROFILE, farthest: float = FARTHEST) -> DataFrame:
+    """The documents, all columns, whose language could be told, with ``lang`` set to it.
+
+    A text without letters goes, as does one of ``TELLING`` n-grams and more that is farther than ``farthest`` from every
+    profile (another language or script), and everything if no row is labelled.  Otherwise as in ``identify``.
+    """
     model = learn_profiles(docs.where(~held_out()), k=k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.predict(t)[0] != UNKNOWN for t in texts], pa.bool_()))
+            found = [model.closest(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            at = batch.schema.get_field_index("lang")
+            told = batch.set_column(at, batch.schema.field(at), pa.array([f[0] for f in found], batch.schema.field(at).type))
+            yield told.filter(pa.array([f[0] != UNKNOWN and f[2] <= farthest for f in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

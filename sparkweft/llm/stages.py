@@ -1,4 +1,8 @@
-"""The operators as stages over a documents table: each takes and returns its columns."""
+"""The operators as stages over a documents table: each takes and returns its columns (the last, the places).
+
+All of them take nulls in any column, empty and very long texts (read whole), repeated rows, extra columns of any name
+and empty tables, which stay empty; what each does with them is stated where it differs from its operator.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,10 @@ from .common import Scratch, pieces, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no letters, no text) go."""
+    """Documents in a learned language stay, and their ``lang`` is the predicted one, which the later stages see.
+
+    Without text or letters, or far from every profile, they go.  Repeated rows are decided alike, and each stays.
+    """
     return language.accepted(docs)
 
 
@@ -35,7 +42,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of any benchmark item go; a passage of one item is a leak already."""
+    """Documents with a window of any benchmark item go; a passage of one item is a leak already.
+
+    Documents without words, and all of them if the benchmark is empty, stay.  Repeated rows are decided alike.
+    """
     out = docs
     for items in decontaminate._batches(table(spark, sf_dir, "benchmark"), decontaminate.PATTERN_WORDS):
         matcher = decontaminate.Matcher(items)
@@ -50,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by their raked probabilities."""
+    """Documents sampled by their raked probabilities; rows of one doc_id are decided alike, a null one counts as an id, those without tokens go."""
     return mixing.mixed(docs).where("mix_kept").select(*docs.columns)
 
 
