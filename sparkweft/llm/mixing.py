@@ -11,6 +11,8 @@ not of documents.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,9 @@ from .common import Scratch, table
 
 #: Targets where none are given: shares of the dimension to these powers (1: as they are), normalised.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-ROUNDS, PER_PLAN, TOLERANCE, SEED = 16, 4, 1e-10, "mix"
+PER_PLAN, TOLERANCE, SEED = 4, 1e-10, "mix"
+#: Rounds after which raking that still moves is given up, with a warning; and those that the SQL has.
+ROUNDS, SQL_ROUNDS = 48, 24
 
 
 def tokens_of(text: F.Column) -> F.Column:
@@ -31,13 +35,13 @@ def topic_of(tokens: F.Column, lines: F.Column) -> F.Column:
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """The rows with mix_tokens, mix_source, mix_lang, mix_topic and mix_u added."""
+    """The rows with mix_tokens, mix_source, mix_lang, mix_topic and mix_u added; a column ``topic`` is the topic where there is one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     label = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)")) if c in docs.columns else F.lit("(none)")
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string")).cast("binary")), 1, 8), 16, 10)
     return (
         docs.withColumn("mix_tokens", tokens_of(text))
-        .withColumn("mix_topic", topic_of(F.col("mix_tokens"), F.regexp_count(text, F.lit("\n")) + 1))
+        .withColumn("mix_topic", label("topic") if "topic" in docs.columns else topic_of(F.col("mix_tokens"), F.regexp_count(text, F.lit("\n")) + 1))
         .withColumn("mix_source", label("source"))
         .withColumn("mix_lang", label("lang"))
         .withColumn("mix_u", draw.cast("double") / F.lit(4294967296.0))
@@ -58,7 +62,8 @@ def rake(cells: DataFrame, scratch: Scratch, *, targets: dict[str, dict[str, flo
     """(mix_source, mix_lang, mix_topic, tokens) -> the same with w, the raked share of all tokens.
 
     Targets are normalised; a value without a target in a given table gets 0.  Where the targets
-    contradict each other or the cells, the last dimension raked agrees exactly and the others nearly.
+    contradict each other or the cells, the last dimension raked agrees exactly and the others nearly; that
+    they did not settle within ``rounds`` is warned of, with the largest correction of the last round.
     """
     dims = list(POWERS)
     goals = {}
@@ -79,8 +84,11 @@ def rake(cells: DataFrame, scratch: Scratch, *, targets: dict[str, dict[str, flo
                 moved = F.lit(0.0) if d == dims[0] else F.col("moved")
                 now = now.withColumn("moved", F.greatest(moved, F.abs(F.col("f") - 1))).withColumn("w", F.col("w") * F.col("f")).drop("f")
         now = scratch.keep(now)
-        if (now.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
+        moved = now.agg(F.max("moved")).first()[0] or 0.0
+        if moved < TOLERANCE:
             break
+    else:
+        warnings.warn(f"raking has not settled after {rounds} rounds: the last one still corrected by {moved:.3g}", stacklevel=2)
     return now.select(*[f"mix_{d}" for d in dims], "tokens", "w")
 
 
@@ -97,8 +105,8 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """Documents with mix_tokens, mix_source, mix_lang, mix_topic, mix_u, mix_p and mix_kept added.
 
     A null source or language is a value of its own.  Documents without tokens have no weight to
-    rake and are not kept.  Repeated rows of one doc_id are kept or dropped together.  Columns of these
-    names in the input are replaced.
+    rake and are not kept.  Repeated rows of one doc_id are kept or dropped together, as are those without one.  Long
+    texts weigh by all their tokens.  Columns of these names in the input are replaced; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     docs = docs.drop("mix_p", "mix_kept")
@@ -122,7 +130,7 @@ def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells_sql(docs: str) -> str:
     """SQL whose CTE mix has the rows of ``docs`` with tokens, topic, probability p and draw u."""
     steps, last = [], "c0"
-    for r in range(ROUNDS):
+    for r in range(SQL_ROUNDS):
         for d in POWERS:
             new = f"c{r}_{d}"
             steps.append(f"{new} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * goal / sum(w) OVER (PARTITION BY c.{d}) AS w FROM {last} c JOIN goal_{d} USING ({d}))")
