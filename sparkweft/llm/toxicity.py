@@ -2,9 +2,9 @@
 
 Labels are per document, so words are labelled at a distance: a word of a toxic training document is
 toxic if its type is far more common in toxic than in clean training documents.  Those document
-frequencies are counted over all labelled training rows; the field itself (a weight for each of at most
-``TYPES`` word types, one for all others, and the two-state transitions) and the calibration are
-fitted on at most ``FIT_ROWS`` labelled rows, the ones with the least hash.
+frequencies are counted over all labelled training rows, and every type of enough evidence has a weight
+of its own; the field (these weights, one for all other words, and the two-state transitions) and the calibration
+are fitted on at most ``FIT_ROWS`` labelled rows, the ones with the least hash.
 
 Forward and backward passes give the marginal of each word exactly.  Words outside the table of types
 share one transfer matrix, so a run of them is a matrix power, and a text costs as many steps as it
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table
 
-TYPES, FIT_ROWS, CONTEXT, SEED_ODDS, BROADCAST_ROWS = 2000, 5_000, 6, 2.5, 2_000_000
+FIT_ROWS, CONTEXT, SEED_ODDS, BROADCAST_ROWS = 5_000, 6, 2.5, 2_000_000
+#: More types of enough evidence than this are refused, not cut: the thresholds below are to be raised then.
+MOST_TYPES = 1_000_000
 #: Log-likelihood ratios, of a type's documents being toxic more often than others, from which it is in the table and seeds labels.
 TABLE_G2, SEED_G2 = 15.0, 26.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -93,10 +95,9 @@ class Field:
         p = self.marginals(at, [self.index[words[i]] for i in at], len(words))
         if len(low) == len(text):
             spans = [m.span() for m in WORD.finditer(low)]
-        else:  # lower-casing changed the length: find the words in the text as it is
-            spans = [m.span() for m in WORD.finditer(text)]
-            if len(spans) != len(words):
-                spans = [(0, 0)] * len(words)
+        else:  # lower-casing changed the length: back to the characters that the lower-cased ones came from
+            of = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+            spans = [(int(of[m.start()]), int(of[m.end() - 1]) + 1) for m in WORD.finditer(low)]
         return len(words), [spans[i] for i in at], p
 
 
@@ -208,7 +209,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0)))), bad
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, types: int = TYPES, fit_rows: int = FIT_ROWS) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS) -> Scorer:
     """Fits on the labelled rows that are not held out; a doc_id with several labels has the highest."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     y = y.where(~held_out()).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -222,12 +223,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, types: int = TYPES, fit_rows: i
     base, own = n1 / max(1, n1 + n0), F.col("t") / (F.col("t") + F.col("c"))
     term = lambda k, p, q: F.when(k > 0, k * F.log(p / q)).otherwise(0.0)
     g2 = 2 * (term(F.col("t"), own, F.lit(max(base, 1e-9))) + term(F.col("c"), 1 - own, F.lit(max(1 - base, 1e-9))))
-    top = counts.withColumn("odds", odds).withColumn("g2", g2).where((F.col("g2") >= TABLE_G2) & (F.col("odds") > 0.7)).orderBy(F.desc(F.col("t") * F.col("odds")), "word").limit(types).collect()
+    top = counts.withColumn("odds", odds).withColumn("g2", g2).where((F.col("g2") >= TABLE_G2) & (F.col("odds") > 0.7)).limit(MOST_TYPES + 1).collect()
+    if len(top) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} words of enough evidence; raise TABLE_G2")
+    top.sort(key=lambda r: r["word"])
     index = {r["word"]: i for i, r in enumerate(top)}
     seeds = {i for i, r in enumerate(top) if r["odds"] >= SEED_ODDS and r["g2"] >= SEED_G2}
+    if not seeds:  # too few rows for sure seeds: the words of the table that are as far more common
+        seeds = {i for i, r in enumerate(top) if r["odds"] >= SEED_ODDS}
     if not index:
         field = Field({}, np.zeros(0), -2.0, np.zeros((2, 2)))
-        return Scorer(field, np.array([np.log((n1 + 0.5) / (n0 + 0.5)), 0, 0, 0]))
+        return Scorer(field, np.array([np.log((n1 + 0.5) / (n0 + 1.0)), 0, 0, 0]))
     # the rows with the least hash, so that the sample does not depend on how rows are dealt
     share = min(1.0, 1.2 * fit_rows / max(1, sum(n.values())))
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + (share >= 1))
@@ -235,17 +241,19 @@ def learn(docs: DataFrame, labels: DataFrame, *, types: int = TYPES, fit_rows: i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             seg = [segments(t, index) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(seg, pa.list_(pa.list_(pa.int32())))], names=["y", "seg"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(seg, pa.list_(pa.list_(pa.int32()))), batch.column(2)], names=["y", "seg", "doc_id"])
 
-    fit = [(r[0], r[1]) for r in sample.select("text", "y").mapInArrow(cut, "y int, seg array<array<int>>").where("size(seg) > 0").limit(fit_rows).collect()]
+    segs = sample.select("text", "y", "doc_id").mapInArrow(cut, "y int, seg array<array<int>>, doc_id long").where("size(seg) > 0")
+    least = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y")]
+    fit = [(r[0], r[1]) for r in segs.orderBy(*least, F.xxhash64("seg")).limit(fit_rows).collect()]
     field = fit_field(fit, [r["word"] for r in top], seeds)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             x = [features(a, p) for a, _, p in map(field.tag, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["y", "x", "doc_id"])
 
-    xy = sample.select("text", "y").mapInArrow(mark, "y int, x array<double>").limit(fit_rows).collect()
+    xy = sample.select("text", "y", "doc_id").mapInArrow(mark, "y int, x array<double>, doc_id long").orderBy(*least, "x").limit(fit_rows).collect()
     return Scorer(field, calibrate(np.array([r[1] for r in xy]).reshape(-1, 4), np.array([r[0] for r in xy], dtype=float)))
 
 
@@ -254,7 +262,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
     One row for each document row; spans are start:end code points of the offending words, comma-joined.
     Null and empty texts have no words and get the score of a text without toxic words.  With no labels
-    at all every score is 0.5 at most by the prior of none; other columns are not read.
+    at all every score is 1/3 and nothing is predicted toxic.  Repeated rows repeat with the same score, and count as often in
+    training.  A score of exactly 0.5 is predicted toxic.  Long texts are tagged whole, and spans count the code points of the text
+    as it is.  Empty documents give an empty result; other columns of any name are not read.
     """
     scorer = learn(docs, labels, **how)
 
