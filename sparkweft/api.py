@@ -60,8 +60,8 @@ class Engine:
         return structure.subsystem_summary(self.items, cochange.degrees(self.edges).select("item_id", "degree"))
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
-        n, avg = self.documents.agg(F.count("*"), F.avg(F.size(F.regexp_extract_all(F.lower("text"), F.lit(retrieval.TERM), F.lit(1))))).first()
-        return retrieval.bm25(retrieval.postings(self.documents), n, avg or 1.0, queries, k=k)
+        index = retrieval.postings(self.documents, wanted=retrieval.all_terms(queries))
+        return retrieval.bm25(index, retrieval.corpus_size(self.documents), queries, k=k)
 
     def learn(self, events: DataFrame) -> DataFrame:
         return feedback.learned_weights(feedback.fold(feedback.deduplicated(events)))

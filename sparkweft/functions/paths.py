@@ -139,6 +139,7 @@ def tie_break(degree: Column, eps: float = 0.1) -> Column:
 def file_class_weight(kind: Column, intent: Column, path: Column) -> Column:
     """Multiplier of a file class under a query intent."""
     low = F.lower(path)
+    # What each class counts for, the first that fits.
     table = [
         (kind == "generated", 0.01),
         (kind == "fixture", 0.1),
@@ -148,8 +149,9 @@ def file_class_weight(kind: Column, intent: Column, path: Column) -> Column:
         ((intent == "schema") & (kind == "migration"), 2.0),
         ((intent == "schema") & (kind == "route"), 0.5),
         ((intent == "docs") & (kind == "doc"), 2.0),
-        ((intent == "openapi") & low.endswith("openapi/models.py"), 4.5),
+        ((intent == "openapi") & low.contains("/openapi/") & low.endswith("openapi/models.py"), 4.5),
         ((intent == "openapi") & low.contains("/openapi/"), 3.5),
+        ((intent == "openapi") & low.rlike(r"^fastapi/([^/]+|_compat/[^/]+)$"), 0.35),
         ((intent == "openapi") & (low.endswith("routing.py") | (kind == "route")), 0.5),
         ((intent == "test") & (kind == "test"), 2.0),
         (kind == "doc", 0.5),

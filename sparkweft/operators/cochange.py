@@ -15,6 +15,14 @@ def basket_weight(n: F.Column, subject: F.Column, noisy: float = CONFIG.noisy_fa
     return F.greatest(1 / F.log(n + 1) * F.when(F.trim(subject).rlike(NOISY), noisy).otherwise(1.0), F.lit(floor))
 
 
+#: Weights add up in whole units of 1 / UNIT, so that no sum depends on the order of its rows.
+UNIT = 1e12
+
+
+def units(weight: F.Column, unit: float = UNIT) -> F.Column:
+    return F.round(weight * F.lit(unit)).cast("long")
+
+
 def cochange_edges(baskets: DataFrame, basket_items: DataFrame, max_basket: int = CONFIG.max_basket) -> DataFrame:
     """(basket_id, ts, subject), (basket_id, item_id) -> edges (src < dst, weight, last_seen, n).
 
@@ -27,8 +35,8 @@ def cochange_edges(baskets: DataFrame, basket_items: DataFrame, max_basket: int
     pairs = F.expr(
         "flatten(transform(sequence(1, size(files) - 1), i -> transform(slice(files, i + 1, size(files)), b -> struct(files[i - 1] as src, b as dst))))"
     )
-    rows = grouped.select("ts", w.alias("w"), F.explode(pairs).alias("p")).select("p.src", "p.dst", "w", "ts")
-    return rows.groupBy("src", "dst").agg(F.round(F.sum("w"), 9).alias("weight"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
+    rows = grouped.select("ts", units(w).alias("w"), F.explode(pairs).alias("p")).select("p.src", "p.dst", "w", "ts")
+    return rows.groupBy("src", "dst").agg((F.sum("w") / F.lit(UNIT)).alias("weight"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -55,7 +63,7 @@ def decayed(edges: DataFrame, now: int | F.Column, days: float = CONFIG.time_con
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    return symmetric(edges).groupBy(F.col("src").alias("item_id")).agg(F.count("*").alias("degree"), F.sum("weight").alias("total_weight"))
+    return symmetric(edges).groupBy(F.col("src").alias("item_id")).agg(F.count("*").alias("degree"), (F.sum(units(F.col("weight"), 1e9)) / F.lit(1e9)).alias("total_weight"))
 
 
 def hotspots(edges: DataFrame, n: int = 20) -> DataFrame:

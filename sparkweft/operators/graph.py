@@ -52,16 +52,27 @@ def walk_scores(edges: DataFrame, seeds: DataFrame, *, steps: int = 6, restart:
     return visits.select("request_id", "item_id", (F.col("v") / F.sum("v").over(Window.partitionBy("request_id"))).alias("score"))
 
 
+#: A node with more than one in so many of the links is a hub; there are fewer hubs than this.
+HUBS = 1000
+
+
 def connected_components(edges: DataFrame, items: DataFrame | None = None, *, min_weight: float = 1.0, rounds: int = 50) -> DataFrame:
     """(item_id, component) over edges of enough weight, the component being its least item.
 
     Labels spread and jump to their label's label; each round is checkpointed, and it ends when none changes.
+    Labels of hubs, fewer than HUBS, go out to their links by broadcast, so that no hub's links meet in one task.
     """
-    sym = symmetric(edges).where(F.col("weight") >= min_weight).select("src", "dst")
-    sym = checkpointed(sym)
-    labels = checkpointed(sym.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label")).withColumnRenamed("src", "item_id"))
+    sym = checkpointed(symmetric(edges).where(F.col("weight") >= min_weight).select("src", "dst"))
+    first = sym.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("label"), F.count("*").alias("n"))
+    first = checkpointed(first.withColumnRenamed("src", "item_id"))
+    hubs = first.where(F.col("n") > max(1, sym.count() // HUBS)).select("item_id")
+    to_hub = sym.join(F.broadcast(hubs.withColumnRenamed("item_id", "dst")), "dst", "left_semi")
+    to_rest = sym.join(F.broadcast(hubs.withColumnRenamed("item_id", "dst")), "dst", "left_anti")
+    labels = first.select("item_id", "label")
     for _ in range(rounds):
-        near = sym.join(labels, sym.dst == labels.item_id).groupBy("src").agg(F.min("label").alias("near")).withColumnRenamed("src", "item_id")
+        far = labels.withColumnRenamed("item_id", "dst")
+        of_hubs = F.broadcast(labels.join(hubs, "item_id", "left_semi").withColumnRenamed("item_id", "dst"))
+        near = to_rest.join(far, "dst").union(to_hub.join(of_hubs, "dst")).groupBy("src").agg(F.min("label").alias("near")).withColumnRenamed("src", "item_id")
         step = labels.join(near, "item_id").select("item_id", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("item_id").alias("via"), F.col("label").alias("far"))
         step = checkpointed(step.join(jump, step.new == jump.via, "left").select("item_id", "label", F.least("new", F.coalesce("far", "new")).alias("new")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
+from ..session import checkpointed
 
 TERM = r"([a-zA-Z][\p{L}\p{N}_]{2,})"
 
@@ -18,22 +19,45 @@ def query_terms(query: Column, limit: int = 16) -> Column:
     return F.slice(F.regexp_extract_all(F.lower(query), F.lit(TERM), F.lit(1)), 1, limit)
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, doc, tf, dl): the inverted index, with each document's length in terms."""
-    terms = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(1))
-    rows = docs.select(F.col(key).alias("doc"), terms.alias("t")).select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
+def is_small(df: DataFrame, most: int = CONFIG.broadcast_rows) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def sized_broadcast(df: DataFrame, most: int = CONFIG.broadcast_rows) -> DataFrame:
+    """A side that is sent to every task only if it is small: its rows are counted before, up to the bound."""
+    return F.broadcast(df) if is_small(df, most) else df
+
+
+def doc_terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.select(F.col(key).alias("doc"), F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(1)).alias("t"))
+
+
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """(term, doc, tf, dl): the inverted index, with each document's length in terms; of the ``wanted`` terms (term) only, if given.
+
+    Unwanted terms go before anything is grouped or moved.
+    """
+    rows = doc_terms(docs, key, text).select("doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if wanted is not None:
+        rows = rows.join(sized_broadcast(wanted.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, n_docs: int, avg_dl: float, queries: DataFrame, *, k: int = 20, k1: float = CONFIG.bm25_k1, b: float = CONFIG.bm25_b) -> DataFrame:
-    """(query_id, query) -> (query_id, doc, score, rank); the idf floor is 1e-6."""
+def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row: documents, mean length in terms."""
+    return docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.col(text)), F.lit(TERM))).alias("avg_dl"))
+
+
+def bm25(index: DataFrame, size: DataFrame, queries: DataFrame, *, k: int = 20, k1: float = CONFIG.bm25_k1, b: float = CONFIG.bm25_b) -> DataFrame:
+    """(query_id, query) -> (query_id, doc, score, rank) by an index and the row of corpus_size; the idf floor is 1e-6."""
     q = queries.select("query_id", F.explode(query_terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hit = index.join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    small = F.broadcast if is_small(q) else lambda df: df
+    df = index.join(small(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    q = q.join(df, "term").crossJoin(F.broadcast(size))  # one row
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = idf * F.col("times") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avg_dl)))
-    scored = hit.join(df, "term").join(q, "term").groupBy("query_id", "doc").agg(F.round(F.sum(part), 6).alias("score"))
+    part = idf * F.col("times") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    scored = index.join(small(q), "term").groupBy("query_id", "doc").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, "query_id", [F.desc("score"), F.col("doc")], k)
 
 
@@ -41,11 +65,16 @@ def ranked(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def all_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, query) -> (query_id, term), each term once."""
+    return queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(TERM), F.lit(1)))).alias("term"))
+
+
 def tfidf(index: DataFrame, n_docs: int, queries: DataFrame, *, k: int = 20) -> DataFrame:
-    q = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query"), 1000))).alias("term"))
-    hit = index.join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hit.join(df, "term").join(q, "term").groupBy("query_id", "doc").agg(F.round(F.sum(F.col("tf") * F.log(F.lit(n_docs) / F.col("df"))), 6).alias("score"))
+    q = all_terms(queries)
+    small = F.broadcast if is_small(q) else lambda df: df
+    df = index.join(small(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    scored = index.join(small(q.join(df, "term")), "term").groupBy("query_id", "doc").agg(F.round(F.sum(F.col("tf") * F.log(F.lit(n_docs) / F.col("df"))), 6).alias("score"))
     return ranked(scored.where("score > 0"), "query_id", [F.desc("score"), F.col("doc")], k)
 
 
@@ -55,11 +84,16 @@ def doc_keywords(index: DataFrame, n_docs: int, k: int = 10) -> DataFrame:
     return ranked(rows.select("doc", "term", "score"), "doc", [F.desc("score"), F.col("term")], k)
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 20_000) -> DataFrame:
     """Cosine of (query_id, embedding) with (vec_id, embedding); a stated query set against all rows, in blocks of queries.
 
-    Queries go out with every block of vectors; each task keeps its best k a query before the shuffle.
+    A block of about so many queries goes out with every task's vectors, whose best k a query are kept before the
+    shuffle; more queries are more blocks, one after the other in one plan.
     """
+    blocks = max(1, -(-queries.count() // block))
+    if blocks > 1:
+        parts = [vector_topk(vectors, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), k, 1 << 62) for b in range(blocks)]
+        return reduce(DataFrame.union, parts)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, e: s + e)
     norm = lambda a: F.sqrt(dot(a, a))
     q = queries.select("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
@@ -76,12 +110,48 @@ def rrf(lists: list[tuple[float, DataFrame]], k: int = CONFIG.rrf_k, limit: int
     return ranked(fused, "query_id", [F.desc("score"), F.col("doc")], limit)
 
 
+#: What a term is made of: a term within a text lies within one of its maximal runs.
+RUN = r"([\p{L}\p{N}_]{3,})"
+
+
+def term_runs(runs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Distinct (run) x distinct (term) -> (run, term, times): runs that hold a term, by its first three letters, then in full."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda i: F.substr("run", i, F.lit(3))))
+    keyed = runs.select("run", F.explode(grams).alias("gram"))
+    keys = terms.select("term", F.substring("term", 1, 3).alias("gram"))
+    held = keyed.join(sized_broadcast(keys), "gram").where(F.expr("contains(run, term)"))
+    times = ((F.length("run") - F.length(F.replace(F.col("run"), F.col("term"), F.lit("")))) / F.length("term")).cast("long")
+    return held.select("run", "term", times.alias("times"))
+
+
 def grep_baseline(docs: DataFrame, queries: DataFrame, *, terms: int = 12, top: int = 3) -> DataFrame:
+    """Documents by how often the first ``terms`` terms of a query stand in them, as parts of longer words too.
+
+    Each distinct word of the corpus is searched once for each distinct term; counts then join by word.
+    """
     q = queries.select("query_id", F.explode(F.array_distinct(query_terms(F.col("query"), terms))).alias("term"))
-    low = docs.select(F.col("doc_id").alias("doc"), F.lower("text").alias("text"))
-    count = ((F.length("text") - F.length(F.replace(F.col("text"), F.col("term"), F.lit("")))) / F.length("term")).cast("long")
-    rows = low.join(F.broadcast(q), F.expr("contains(text, term)")).groupBy("query_id", "doc").agg(F.sum(count).alias("score"))
-    return ranked(rows, "query_id", [F.desc("score"), F.col("doc")], top)
+    rows = docs.select(F.col("doc_id").alias("doc"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(RUN), F.lit(1))).alias("run"))
+    held = checkpointed(term_runs(rows.select("run").distinct(), q.select("term").distinct()))
+    per = rows.join(sized_broadcast(held, 4 * CONFIG.broadcast_rows), "run").groupBy("doc", "term").agg(F.sum("times").alias("times"))
+    scored = per.join(sized_broadcast(q), "term").groupBy("query_id", "doc").agg(F.sum("times").alias("score"))
+    return ranked(scored, "query_id", [F.desc("score"), F.col("doc")], top)
+
+
+def holding(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(doc_id, text) x (query_id, query) -> (query_id, doc): documents whose text holds the whole query, whatever its case.
+
+    A word within the query, not at its ends, must be a word of the document: documents that share the longest one are
+    candidates, confirmed in full.  Queries without such a word are searched for in every text.
+    """
+    low = queries.select("query_id", F.lower("query").alias("low"))
+    words = F.regexp_extract_all("low", F.lit(RUN), F.lit(1))
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) >= 3)
+    keyed = low.withColumn("run", F.get(F.sort_array(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 0)["w"])
+    text = docs.select(F.col("doc_id").alias("doc"), F.lower("text").alias("text"))
+    runs = text.select("doc", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), F.lit(1)))).alias("run"))
+    by_word = runs.join(sized_broadcast(keyed.where("run is not null")), "run").where(F.expr("contains(text, low)")).select("query_id", "doc")
+    plain = text.join(sized_broadcast(keyed.where("run is null")), F.expr("contains(text, low)")).select("query_id", "doc")
+    return by_word.union(plain)
 
 
 def budget_pack(ranked_rows: DataFrame, by: str, tokens: str, budget: Column | int) -> DataFrame:

@@ -17,6 +17,8 @@ def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split(bare, "/")
     keys = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     known = files.select(F.col("path").alias("dst"), F.explode(keys).alias("key"))
+    # the two best of a key will do, as a file is not its own import
+    known = known.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.length("dst"), "dst"))).where("nth <= 2").drop("nth")
     want = refs.select(F.col("path").alias("src"), "ref", F.regexp_replace(F.regexp_replace("ref", r"^(\./|\.\./)+", ""), r"[.:]+", "/").alias("key"))
     hit = want.join(known, "key").where("src <> dst")
     first = F.row_number().over(Window.partitionBy("src", "ref").orderBy(F.length("dst"), "dst"))
@@ -26,9 +28,22 @@ def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
 def paired_tests(files: DataFrame, cap: int = 10) -> DataFrame:
     """(path) -> (test, impl): files that share a mirror key, at most ``cap`` for each test."""
     rows = files.select("path", P.mirror_key(F.col("path")).alias("mirror"), P.is_structural_test(F.col("path")).alias("t"))
-    pairs = rows.where("t").select(F.col("path").alias("test"), "mirror").join(rows.where("not t").select(F.col("path").alias("impl"), "mirror"), "mirror")
-    nth = F.row_number().over(Window.partitionBy("test").orderBy("impl"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= cap).select("test", "impl")
+    # the first of each key, before anything is paired
+    first = F.row_number().over(Window.partitionBy("mirror").orderBy("impl"))
+    impls = rows.where("not t").select(F.col("path").alias("impl"), "mirror").withColumn("nth", first).where(F.col("nth") <= cap)
+    return rows.where("t").select(F.col("path").alias("test"), "mirror").join(impls, "mirror").select("test", "impl")
+
+
+def siblings(files: DataFrame, k: int = 10) -> DataFrame:
+    """(item_id, path) -> (item_id, sibling, k): the first k other paths of each path's directory."""
+    rows = files.withColumn("dir", P.parent(F.col("path")))
+    nth = F.row_number().over(Window.partitionBy("dir").orderBy("path", "item_id"))
+    # k + 1 of a directory will do, as one of them may be the path itself
+    first = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("dir", F.col("item_id").alias("sibling"), "nth")
+    own = first.select(F.col("sibling").alias("item_id"), F.col("nth").alias("own"))
+    pairs = rows.select("item_id", "dir").join(first, "dir").where("item_id <> sibling").join(own, "item_id", "left")
+    place = F.col("nth") - F.when(F.col("own") < F.col("nth"), 1).otherwise(0)
+    return pairs.select("item_id", "sibling", place.cast("int").alias("k")).where(F.col("k") <= k)
 
 
 def drift(touched: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import code_queries, graph_queries, learning_queries, more_queries, retrieval_queries, selection_queries
+from . import code_queries, graph_queries, learning_queries, more_queries, ranking_queries, retrieval_queries, selection_queries, semantic_queries, tree_queries
 
-MODULES = [graph_queries, retrieval_queries, learning_queries, code_queries, selection_queries, more_queries]
+MODULES = [graph_queries, retrieval_queries, learning_queries, code_queries, selection_queries, more_queries, semantic_queries, tree_queries, ranking_queries]
 
 
 def queries() -> dict:

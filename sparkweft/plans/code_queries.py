@@ -33,6 +33,9 @@ PREFIX = "CASE WHEN len(string_split(path, '/')) >= 3 THEN string_split(path, '/
 # A source line for each item, so that the extractors have code to read; the same text in both engines.
 CODE = "'import ' || replace(lower(p_name), ' ', '_') || chr(10) || 'class ' || replace(initcap(p_name), ' ', '') || ':' || chr(10) || '    def run_' || p_partkey || '(self):' || chr(10) || '        return ' || p_size || chr(10) || chr(10) || 'def main():' || chr(10) || '    pass'"
 
+CAPITALS = "array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), '')"
+CODE_SQL = CODE.replace("replace(initcap(p_name), ' ', '')", CAPITALS)
+
 
 def code_files(spark, d):
     part = I.read(spark, d, "part")

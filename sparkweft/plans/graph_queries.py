@@ -31,6 +31,7 @@ def seeds_of(spark, d):
 
 
 E = I.SQL_EDGES
+TOTAL = "round(CAST(sum(CAST(round(weight * 1e9) AS BIGINT)) AS DOUBLE) / 1e9, 6)"
 SEEDS = "seeds AS (SELECT r AS request_id, r * 7 + k AS item_id FROM range(10) a(r), range(1, 6) b(k))"
 
 
@@ -44,12 +45,12 @@ def top_neighbours(spark, d):
     return C.top_neighbours(edges_of(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {E} SELECT src AS item_id, count(*) AS degree, round(sum(weight), 6) AS total_weight FROM sym GROUP BY src ORDER BY total_weight DESC, item_id LIMIT 20")
+@query(f"WITH {E} SELECT src AS item_id, count(*) AS degree, {TOTAL} AS total_weight FROM sym GROUP BY src ORDER BY total_weight DESC, item_id LIMIT 20")
 def hotspots(spark, d):
     return C.hotspots(edges_of(spark, d))
 
 
-@query(f"WITH {E} SELECT src AS item_id, count(*) AS degree, round(sum(weight), 6) AS total_weight FROM sym GROUP BY src")
+@query(f"WITH {E} SELECT src AS item_id, count(*) AS degree, {TOTAL} AS total_weight FROM sym GROUP BY src")
 def node_degrees(spark, d):
     return C.degrees(edges_of(spark, d)).withColumn("total_weight", F.round("total_weight", 6))
 
@@ -84,7 +85,7 @@ def edge_upsert_merge(spark, d):
     return C.merge_edges(*parts).withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH {E}, t AS (SELECT max(ts) - 365 * 86400 AS since FROM baskets), late AS (SELECT k.* FROM kept k, t WHERE k.ts > t.since) SELECT a.item_id AS src, b.item_id AS dst, round(sum(a.w), 6) AS weight, max(a.ts) AS last_seen, count(*) AS n FROM late a JOIN late b ON a.basket_id = b.basket_id AND a.item_id < b.item_id GROUP BY 1, 2")
+@query(f"WITH {E}, t AS (SELECT max(ts) - 365 * 86400 AS since FROM baskets), late AS (SELECT k.* FROM kept k, t WHERE k.ts > t.since) SELECT a.item_id AS src, b.item_id AS dst, round(CAST(sum(a.w) AS DOUBLE) / 1e12, 6) AS weight, max(a.ts) AS last_seen, count(*) AS n FROM late a JOIN late b ON a.basket_id = b.basket_id AND a.item_id < b.item_id GROUP BY 1, 2")
 def incremental_edges(spark, d):
     """Only the baskets after a watermark, here the last year."""
     baskets = I.baskets(spark, d)

@@ -92,9 +92,7 @@ EXP = f"{T.QS}, ex AS (SELECT query_id AS case_id, doc_id AS doc, row_number() O
 
 
 def expected_of(spark, d):
-    q = T.queries_of(spark, d)
-    rows = I.read(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.lower("text").alias("t")).join(F.broadcast(q.withColumn("l", F.lower("query"))), F.expr("contains(t, l)"))
-    rows = rows.select(F.col("query_id").alias("case_id"), "doc")
+    rows = R.holding(I.read(spark, d, "documents"), T.queries_of(spark, d)).withColumnRenamed("query_id", "case_id")
     return R.ranked(rows, "case_id", [F.col("doc")], 2).withColumnRenamed("rank", "position")
 
 

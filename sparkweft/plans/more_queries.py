@@ -39,12 +39,12 @@ def symbol_search(spark, d):
     return R.ranked(hit, "query_id", [F.desc("score"), F.length("symbol"), F.col("symbol"), F.col("path")], 20).select("query_id", "path", "symbol", "score", "rank")
 
 
-@query(f"WITH {I.SQL_ITEMS}, st AS (SELECT item_id, path, {T.STEM} AS stem FROM items), c AS (SELECT item_id, path, 'class X(' || {T.STEM} || '):' AS text FROM items WHERE item_id % 9 = 0) SELECT c.path AS src, st.path AS dst, 'inherits' AS kind FROM c JOIN st ON st.stem = regexp_extract(c.text, 'class\\s+[A-Za-z0-9_]+\\(([A-Za-z0-9_]+)\\)', 1) WHERE c.item_id >= 0")
+@query(f"WITH {I.SQL_ITEMS}, st AS (SELECT item_id, path, {T.STEM} AS stem FROM items), c AS (SELECT item_id, path, 'class X(' || {T.STEM} || '):' AS text FROM items) SELECT c.path AS src, st.path AS dst, 'inherits' AS kind FROM c JOIN st ON st.stem = regexp_extract(c.text, 'class\\s+[A-Za-z0-9_]+\\(([A-Za-z0-9_]+)\\)', 1) WHERE c.item_id >= 0")
 def inherits_edges(spark, d):
     """Class headers name their parent; the parent is the file of that stem."""
     it = I.items(spark, d)
     text = F.concat(F.lit("class X("), P.stem(F.col("path")), F.lit("):"))
-    parents = it.where("item_id % 9 = 0").select(F.col("path").alias("src"), F.regexp_extract(text, r"class\s+[A-Za-z0-9_]+\(([A-Za-z0-9_]+)\)", 1).alias("stem"))
+    parents = it.select(F.col("path").alias("src"), F.regexp_extract(text, r"class\s+[A-Za-z0-9_]+\(([A-Za-z0-9_]+)\)", 1).alias("stem"))
     return parents.join(it.select(F.col("path").alias("dst"), P.stem(F.col("path")).alias("stem")), "stem").select("src", "dst", F.lit("inherits").alias("kind"))
 
 

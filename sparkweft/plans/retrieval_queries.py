@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import cochange as C
 from ..operators import retrieval as R
+from ..operators import structure as X
 from ..sources import inputs as I
 from .graph_queries import edges_of
 
@@ -26,15 +27,13 @@ def query(sql: str | None = None):
 IT = I.SQL_ITEMS
 TEST = "regexp_matches(path, '(?i)(^|/)(spec|test|tests|__tests__)/|_(spec|test)\\.|\\.(spec|test)\\.')"
 CLASS = "CASE " + " ".join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{n}'" for n, p in P.CLASS_RULES) + " ELSE 'source' END"
-QTEXT = "array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:6], ' ')"
-QS = f"q AS (SELECT item_id AS query_id, {QTEXT} AS query FROM benchmark)"
+QS = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 TERMS = "regexp_extract_all(lower({}), '[a-zA-Z][\\p{{L}}\\p{{N}}_]{{2,}}')"
 
 
 def queries_of(spark, d):
-    """The first six words of each benchmark text."""
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 6)
-    return I.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    """Each benchmark text is a query."""
+    return I.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"WITH {IT} SELECT item_id, path, {CLASS} AS kind FROM items")
@@ -105,13 +104,10 @@ def auto_subsystems(spark, d):
     return pre.groupBy("prefix").agg(F.count("*").alias("n"), F.min("path").alias("first_path")).where("n >= 5").orderBy(F.desc("n"), "prefix").limit(40)
 
 
-@query(f"WITH {IT}, p AS (SELECT item_id, path, {PARENT} AS dir FROM items) SELECT a.item_id, b.item_id AS sibling, CAST(k AS INT) AS k FROM (SELECT a.item_id, b.item_id AS sib, row_number() OVER (PARTITION BY a.item_id ORDER BY b.path) AS k FROM p a JOIN p b ON a.dir = b.dir AND a.item_id <> b.item_id WHERE a.item_id <= 300) x JOIN p a ON a.item_id = x.item_id JOIN p b ON b.item_id = x.sib WHERE k <= 10")
+@query(f"WITH {IT}, p AS (SELECT item_id, path, {PARENT} AS dir FROM items) SELECT item_id, sib AS sibling, CAST(k AS INT) AS k FROM (SELECT a.item_id, b.item_id AS sib, row_number() OVER (PARTITION BY a.item_id ORDER BY b.path) AS k FROM p a JOIN p b ON a.dir = b.dir AND a.item_id <> b.item_id) WHERE k <= 10")
 def dir_siblings(spark, d):
-    """The first ten other paths of the directory of each seed, here the items 1 to 300."""
-    p = I.items(spark, d).withColumn("dir", P.parent(F.col("path")))
-    seeds = p.where("item_id <= 300").select(F.col("item_id").alias("seed"), "dir")
-    rows = seeds.join(p, "dir").where("seed <> item_id")
-    return R.ranked(rows, "seed", [F.col("path")], 10).select(F.col("seed").alias("item_id"), F.col("item_id").alias("sibling"), F.col("rank").alias("k"))
+    """The first ten other paths of the directory of each item."""
+    return X.siblings(I.items(spark, d))
 
 
 def _shared(a: str, b: str) -> str:
@@ -142,6 +138,9 @@ POST = f"post AS (SELECT doc_id AS doc, t.term, count(*) AS tf, any_value(dl) AS
 QT = f"{QS}, qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TERMS.format('query')}[1:16]) AS term FROM q) GROUP BY ALL)"
 
 
+QA = f"{QS}, qa AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({TERMS.format('query')}) AS term FROM q))"
+
+
 @query(f"WITH {POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term")
 def doc_frequency(spark, d):
     return R.postings(I.read(spark, d, "documents")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -153,18 +152,17 @@ def doc_frequency(spark, d):
     "SELECT query_id, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM sc) WHERE rank <= 20"
 )
 def bm25_search(spark, d):
-    docs = I.read(spark, d, "documents")
-    n, avg = docs.agg(F.count("*"), F.avg(F.size(F.regexp_extract_all(F.lower("text"), F.lit(R.TERM), F.lit(1))))).first()
-    return R.bm25(R.postings(docs), n, avg, queries_of(spark, d))
+    docs, q = I.read(spark, d, "documents"), queries_of(spark, d)
+    return R.bm25(R.postings(docs, wanted=R.all_terms(q)), R.corpus_size(docs), q)
 
 
 @query(
-    f"WITH {POST}, {QT}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), sc AS (SELECT query_id, doc, round(sum(tf * ln(n::DOUBLE / df)), 6) AS score FROM qt JOIN post USING (term) JOIN df USING (term), n GROUP BY ALL) "
+    f"WITH {POST}, {QA}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), sc AS (SELECT query_id, doc, round(sum(tf * ln(n::DOUBLE / df)), 6) AS score FROM qa JOIN post USING (term) JOIN df USING (term), n GROUP BY ALL) "
     "SELECT query_id, doc, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM sc WHERE score > 0) WHERE rank <= 20"
 )
 def tfidf_search(spark, d):
-    docs = I.read(spark, d, "documents")
-    return R.tfidf(R.postings(docs), docs.count(), queries_of(spark, d))
+    docs, q = I.read(spark, d, "documents"), queries_of(spark, d)
+    return R.tfidf(R.postings(docs, wanted=R.all_terms(q)), docs.count(), q)
 
 
 @query(f"WITH {POST}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM post GROUP BY term), sc AS (SELECT doc, term, round(tf * ln(n::DOUBLE / df), 6) AS score FROM post JOIN df USING (term), n) SELECT doc, term, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY score DESC, term) AS rank FROM sc) WHERE rank <= 10")

@@ -14,6 +14,7 @@ from ..operators import feedback as B
 from ..operators import retrieval as R
 from ..operators import selection as S
 from ..sources import inputs as I
+from ..session import shared_dir
 from ..sources import stores
 from . import graph_queries as G
 from . import learning_queries as L
@@ -96,7 +97,7 @@ def ablation_study(spark, d):
     return S.ablation({n: score([m for m in lists if m != n]) for n in lists}, score(list(lists)))
 
 
-PQ = "pq AS (SELECT p_partkey AS query_id, p_name AS query FROM part WHERE p_partkey % 50 = 0)"
+PQ = "pq AS (SELECT p_partkey AS query_id, p_name AS query FROM part WHERE p_partkey % 20 = 0)"
 
 
 @query(
@@ -104,7 +105,7 @@ PQ = "pq AS (SELECT p_partkey AS query_id, p_name AS query FROM part WHERE p_par
     "SELECT query_id, doc, path, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM h) WHERE rank <= 20"
 )
 def path_search(spark, d):
-    q = I.read(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
+    q = I.read(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
     return S.path_hits(I.items(spark, d), q)
 
 
@@ -118,7 +119,7 @@ def token_savings(spark, d):
 @query(f"WITH {L.EV} SELECT kind, count(*) AS n, round(sum(dwell_seconds), 4) AS dwell FROM fb GROUP BY kind")
 def event_log_roundtrip(spark, d):
     """Events written as JSON lines and read again."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/log-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
     stores.write_events(I.feedback_events(spark, d), folder)
     return stores.read_events(spark, folder).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("dwell_seconds"), 4).alias("dwell"))
 
@@ -126,7 +127,7 @@ def event_log_roundtrip(spark, d):
 @query("SELECT sha256(text) AS key, length(text) AS size FROM documents GROUP BY text")
 def payload_cache(spark, d):
     """Payloads stored twice: equal ones are kept once."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/payloads-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/payloads-{uuid.uuid4().hex}"
     rows = I.read(spark, d, "documents").select(F.col("text").alias("payload"))
     stores.store_payloads(rows, folder)
     stores.store_payloads(rows, folder)

@@ -61,6 +61,6 @@ SQL_BASKET_ITEMS = "basket_items AS (SELECT DISTINCT l_orderkey AS basket_id, l_
 SQL_EVENTS = f"fb AS (SELECT event_id, CAST(user_id AS VARCHAR) AS request_id, 'item_' || (event_id % 200) AS path, {KIND} AS kind, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS ts, value AS dwell_seconds FROM events)"
 SQL_EDGES = f"""{SQL_BASKETS}, {SQL_BASKET_ITEMS},
 sized AS (SELECT b.basket_id, b.ts, b.subject, i.item_id, count(*) OVER (PARTITION BY i.basket_id) AS n FROM basket_items i JOIN baskets b ON b.basket_id = i.basket_id),
-kept AS (SELECT *, greatest(1 / ln(n + 1) * CASE WHEN regexp_matches(trim(subject), '(?i)^(merge|bump|format|lint|rubocop|prettier|reformat|chore\\(deps\\))') THEN 0.25 ELSE 1.0 END, 0.05) AS w FROM sized WHERE n BETWEEN 2 AND 250),
-edges AS (SELECT a.item_id AS src, b.item_id AS dst, round(sum(a.w), 9) AS weight, max(a.ts) AS last_seen, count(*) AS n FROM kept a JOIN kept b ON a.basket_id = b.basket_id AND a.item_id < b.item_id GROUP BY 1, 2),
+kept AS (SELECT *, CAST(round(w0 * 1e12) AS BIGINT) AS w FROM (SELECT *, greatest(1 / ln(n + 1) * CASE WHEN regexp_matches(trim(subject), '(?i)^(merge|bump|format|lint|rubocop|prettier|reformat|chore\\(deps\\))') THEN 0.25 ELSE 1.0 END, 0.05) AS w0 FROM sized WHERE n BETWEEN 2 AND 250)),
+edges AS (SELECT a.item_id AS src, b.item_id AS dst, CAST(sum(a.w) AS DOUBLE) / 1e12 AS weight, max(a.ts) AS last_seen, count(*) AS n FROM kept a JOIN kept b ON a.basket_id = b.basket_id AND a.item_id < b.item_id GROUP BY 1, 2),
 sym AS (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges)"""

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", max_files: int = 50) -> DataFrame:
     schema = spark.read.parquet(f"{folder}/{name}").schema
@@ -17,7 +19,7 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
 def once(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs what is there to its end and returns the rows of the sink."""
     spark = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
         q.awaitTermination()
