@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 SHARDS, OLD, BUCKETS, OVERHEAD = 40, 32, 256, 16
+#: Parts in which the rows of a block are numbered, so that a block as heavy as a shard is no single task's.
+PARTS = 64
 
 
 def min_cost_flow(supply: dict[int, int], room: dict[int, int], cost=lambda a, b: int(a != b)) -> dict[tuple[int, int], int]:
@@ -111,12 +113,15 @@ def place_blocks(blocks: list[tuple], shards: int) -> list[tuple]:
     return out
 
 
-def _even_out(blocks: list[tuple], shard_of: dict, free: dict[int, int], slack: int, rounds: int = 2000) -> None:
-    """Moves single blocks from the fullest to the emptiest shard while that brings the two closer."""
+def _even_out(blocks: list[tuple], shard_of: dict, free: dict[int, int], slack: int) -> None:
+    """Moves single blocks from the fullest to the emptiest shard while that brings the two closer.
+
+    Every move lessens the sum of the squares of what is free, in whole bytes, so it ends by itself.
+    """
     own = defaultdict(list)
     for b in blocks:
         own[shard_of[b[:2]]].append((b[2], b[:2]))
-    for _ in range(rounds):
+    while True:
         full, empty = min(free, key=lambda s: (free[s], s)), max(free, key=lambda s: (free[s], -s))
         gap = free[empty] - free[full]
         if gap <= slack:
@@ -143,6 +148,8 @@ def reshard(docs: DataFrame, *, shards: int = SHARDS, old_shards: int = OLD, buc
     ``old`` gives the present shard of a row (0 to old_shards - 1); by default it is the hash of
     the text modulo old_shards.  A null text weighs its overhead only and equals an empty text.
     Rows are told apart by doc_id, size and CRC; rows alike in all three share no slot, in either order.
+    Equal sizes are placed in the order of their block's number.  A long text counts by its bytes alone; one heavier
+    than a shard overfills it.  Other columns of any name are not read, but for those that ``old`` names.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -158,17 +165,24 @@ def reshard(docs: DataFrame, *, shards: int = SHARDS, old_shards: int = OLD, buc
     # texts as heavy as a bucket are blocks of their own: at most old_shards * buckets of them
     heavy = rows.groupBy("old_shard", "text_hash").agg(F.sum("size").alias("bytes")).where(F.col("bytes") >= bucket)
     heavy = heavy.withColumn("deals", F.ceil(F.col("bytes") / cap))
-    rows = rows.join(heavy.select("old_shard", "text_hash", "deals"), ["old_shard", "text_hash"], "left")
+    # so few by their definition that they go out to the rows, where a heavy text would meet in one task
+    rows = rows.join(F.broadcast(heavy.select("old_shard", "text_hash", "deals")), ["old_shard", "text_hash"], "left")
     dealt_ = F.pmod(F.xxhash64("doc_id", "text_hash"), F.greatest("deals", F.lit(1)))
     # buckets are numbered below `buckets`; a heavy text is known by its hash, a dealt one also by its part
     block = F.when(F.col("deals").isNull(), F.col("block")).otherwise(F.xxhash64("text_hash", dealt_))
     rows = scratch.keep(rows.select("doc_id", "size", "text_crc32", "old_shard", block.cast("long").alias("block")))
     blocks = [tuple(r) for r in rows.groupBy("old_shard", "block").agg(F.sum("size"), F.count("*")).collect()]
     plan = spark.createDataFrame(place_blocks(blocks, shards), "old_shard int, block long, shard int, first long")
-    within = Window.partitionBy("old_shard", "block").orderBy("doc_id", "size", "text_crc32")
-    out = rows.withColumn("nth", F.row_number().over(within)).join(plan, ["old_shard", "block"])
+    # numbered within parts of a block, which follow each other: PARTS counts a block, not its rows, meet in a window
+    part = F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(PARTS)).cast("int")
+    key = ["old_shard", "block", "part"]
+    rows = rows.withColumn("part", part)
+    upto = F.sum("n").over(Window.partitionBy("old_shard", "block").orderBy("part"))
+    parts = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("before", upto - F.col("n")).join(plan, ["old_shard", "block"])
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id", "size", "text_crc32"))
+    out = rows.withColumn("nth", nth).join(parts.select(*key, "shard", (F.col("first") + F.col("before")).alias("start")), key)
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )
 
 
