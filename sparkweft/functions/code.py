@@ -15,8 +15,31 @@ from pyspark.sql import functions as F
 
 #: A declaration: keyword, then name.
 DECLARE = r"^\s*(?:export\s+)?(?:public\s+|private\s+|static\s+|async\s+)*(class|module|interface|struct|enum|trait|def|fn|func|function)\s+([A-Za-z_][A-Za-z0-9_]*)"
-CONTAINERS = {"class", "module", "interface", "struct", "trait"}
-IMPORT_FORMS = [r"""^\s*import\s+([\w.]+)""", r"""^\s*from\s+([\w.]+)\s+import""", r"""require(?:_relative)?\s*\(?\s*['"]([^'"]+)['"]""", r"""from\s+['"]([^'"]+)['"]""", r"""^\s*use\s+([\w:]+)"""]
+# Forms of imports, symbol definitions with their kinds, names that are no symbols.
+IMPORT_FORMS = [
+    r"""^\s*(?:from|import)\s+['".]?(\S+)""",
+    r"""^\s*(?:require|require_relative)\s+['"]([^'"]+)""",
+    r"""^\s*(?:import|export)\s.*?from\s+['"]([^'"]+)""",
+    r"""^\s*(?:const|let|var)\s.*?=\s*require\s*\(\s*['"]([^'"]+)""",
+    r"""^\s*#include\s+["<]([^">]+)""",
+    r"""^\s*use\s+([^\s;]+)""",
+    r"""^\s*package\s+(\S+)""",
+    r"""^\s*import\s+"([^"]+)\"""",
+]
+SYMBOL_FORMS = [
+    (r"[ \t]*(?:async\s+)?def\s+(\w+)", "function"),
+    (r"[ \t]*(?:class|module)\s+(\w+)", "class"),
+    (r"[ \t]*(?:export\s+)?(?:async\s+)?function\s+(\w+)", "function"),
+    (r"[ \t]*(?:export\s+)?class\s+(\w+)", "class"),
+    (r"[ \t]*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(", "function"),
+    (r"[ \t]*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", "function"),
+    (r"[ \t]*(?:pub\s+)?(?:struct|trait|enum|impl)\s+(\w+)", "class"),
+    (r"func\s+(?:\(\w+\s+[^)]+\)\s+)?(\w+)", "function"),
+    (r"type\s+(\w+)\s+(?:struct|interface)", "class"),
+]
+SKIP_NAMES = set("self cls this new return if else for while try catch throw import from in not and or is None True False null undefined var let const".split())
+_SYMBOLS = [(re.compile(p), kind) for p, kind in SYMBOL_FORMS]
+_CONTAINER = re.compile(r"[ \t]*(?:class|module)\s+(\w+)")
 KEEP_LINE = re.compile(r"\b(def|class|return|raise|import|func|fn|function|interface|struct)\b")
 MAX_BODY = 5000
 
@@ -26,11 +49,6 @@ def imports(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?m)" + p), F.lit(1)) for p in IMPORT_FORMS])))
 
 
-def refs(text: Column) -> Column:
-    """Names in ref('...') of SQL templates."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"""ref\(\s*['"]([^'"]+)['"]\s*\)"""), F.lit(1)))
-
-
 def snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
 
@@ -47,14 +65,18 @@ def normalized(path: str) -> str:
 
 
 def symbols_of(text: str | None) -> list[tuple[str, str, int, str | None]]:
-    """(symbol, kind, line, container): the container is the nearest class or module above."""
+    """(symbol, kind, line, container) of definitions in several languages; the container is the nearest class or module above."""
     out, inside = [], None
     for n, line in enumerate((text or "").split("\n"), 1):
-        m = re.match(DECLARE, line)
+        seen = set()
+        for form, kind in _SYMBOLS:
+            m = form.match(line)
+            if m and m[1] not in SKIP_NAMES and m[1] not in seen:
+                seen.add(m[1])
+                out.append((m[1], kind, n, inside))
+        m = _CONTAINER.match(line)
         if m:
-            out.append((m[2], m[1], n, inside))
-            if m[1] in CONTAINERS:
-                inside = m[2]
+            inside = m[1]
     return out
 
 

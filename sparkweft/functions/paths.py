@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ CLASS_RULES = [
     ("config", r"/config/|(^|/)(dockerfile|makefile)$|\.(yaml|yml|toml|ini|json)$"),
 ]
 TOKENS_PER_BYTE = {".py": 0.28, ".rb": 0.27, ".js": 0.28, ".ts": 0.28, ".tsx": 0.29, ".jsx": 0.29, ".java": 0.25, ".go": 0.25, ".rs": 0.26, ".sql": 0.24, ".yml": 0.31, ".yaml": 0.31, ".json": 0.35, ".md": 0.25, ".txt": 0.24}
-EXCLUDED_DIRS = ["node_modules", "vendor", "dist", "build", "target", "__pycache__", "coverage"]
+EXCLUDED_DIRS = ["node_modules", "vendor", "dist", "build", "target", ".venv", "venv", "Pods", ".next", "__pycache__", ".git"]
 
 
 def is_test(path: Column) -> Column:
@@ -43,8 +45,20 @@ def is_noise(path: Column) -> Column:
     return is_test(path) | path.rlike(NOISE_PREFIX)
 
 
-def excluded(path: Column, dirs: list[str] = EXCLUDED_DIRS) -> Column:
-    return path.rlike("(^|/)(" + "|".join(dirs) + ")/")
+def excluded(path: Column, dirs: list[str] = EXCLUDED_DIRS, *, tests: bool = False, patterns: list[str] | None = None) -> Column:
+    """Whether a path is in, or is, one of the directories, in a test directory (if so asked), or under one of the caller's globs or prefixes."""
+    out = (path == "") | path.rlike("(^|/)(" + "|".join(re.escape(d) for d in dirs) + ")(/|$)")
+    if tests:
+        out = out | path.rlike("(^|/)tests?(/|$)")
+    for p in patterns or []:
+        bare = re.sub("^[./]+", "", p)
+        out = out | path.rlike(glob_regex(bare)) | path.rlike(glob_regex(bare.rstrip("/"))) | F.startswith(path, F.lit(bare.rstrip("/") + "/"))
+    return out
+
+
+def glob_regex(pattern: str) -> str:
+    """A shell pattern as a regular expression over a whole name; ``*`` crosses directories."""
+    return "(?s)^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
 
 
 def file_class(path: Column) -> Column:

@@ -227,7 +227,7 @@ def replay(rows: DataFrame, expected: DataFrame, held: DataFrame, features: list
     """
     from ..session import checkpointed
 
-    rows = checkpointed(rows)  # read several times below
+    rows = checkpointed(rows.drop("label"))  # read several times below
     out = rows.join(held, "request_id", "left_semi")
     train = rows.join(held, "request_id", "left_anti")
     first = R.ranked(out.select("request_id", "path", F.col(base).alias("score")), "request_id", [F.desc("score"), F.col("path")], 1 << 30)

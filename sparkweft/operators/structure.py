@@ -59,7 +59,9 @@ def subsystem_summary(files: DataFrame, degrees: DataFrame, top: int = 5) -> Dat
 
 
 def routing_hints(requests: DataFrame, rules: DataFrame, most: int = 5) -> DataFrame:
-    """Rules (rule_id, intent, path_prefix, degree_gte; null matches all) that fit each request, the first few.
+    """Rules (rule_id, rule_intent, path_prefix, path_contains, degree_gte; null matches all) that fit each request, the first few.
+
+    A prefix is whole directories of a path, or the path.
 
     Rules are configuration: the caller vouches for their number, which is checked before they go to every task.
     """
@@ -67,7 +69,8 @@ def routing_hints(requests: DataFrame, rules: DataFrame, most: int = 5) -> DataF
         raise ValueError("more than 10000 routing rules")
     fits = (
         (F.col("rule_intent").isNull() | (F.col("rule_intent") == F.col("intent")))
-        & (F.col("path_prefix").isNull() | F.expr("startswith(path, path_prefix)"))
+        & (F.col("path_prefix").isNull() | (F.col("path") == F.rtrim("path_prefix", F.lit("/"))) | F.expr("startswith(path, concat(rtrim('/', path_prefix), '/'))"))
+        & (F.col("path_contains").isNull() | F.expr("contains(path, path_contains)"))
         & (F.col("degree_gte").isNull() | (F.col("degree") >= F.col("degree_gte")))
     )
     rows = requests.join(F.broadcast(rules), fits)

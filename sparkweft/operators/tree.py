@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,26 +26,20 @@ ANCHORS = [(5_000, 3_500, 17.0, 24.0), (5_150, 10_500, 792.0, 289.0), (100_000,
 EDGE_KINDS = ["calls", "inherits", "tests"]
 
 
-def glob_regex(pattern: str) -> str:
-    """A shell pattern as a regular expression over a whole name; ``*`` crosses directories."""
-    out = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern)
-    return f"(?s)^{out}$"
-
-
 def matches_glob(path: Column, patterns: list[str]) -> Column:
     """Whether the path or its last part matches one of the patterns."""
-    tests = [side.rlike(glob_regex(p)) for p in patterns for side in (P.basename(path), path)]
+    tests = [side.rlike(P.glob_regex(p)) for p in patterns for side in (P.basename(path), path)]
     return reduce(lambda a, b: a | b, tests)
 
 
 def in_subsystem(path: Column, pattern: str) -> Column:
     """A path under a pattern, where ``**`` splits it into a prefix of the path and an end of it or of its last part."""
     if "**" not in pattern:
-        return path.rlike(glob_regex(pattern))
+        return path.rlike(P.glob_regex(pattern))
     prefix, suffix = pattern.split("**", 1)
     prefix, suffix = prefix.rstrip("/"), suffix.lstrip("/")
     under = F.startswith(path, F.lit(prefix)) if prefix else F.lit(True)
-    ends = (path.rlike(glob_regex(f"*{suffix}")) | P.basename(path).rlike(glob_regex(suffix))) if suffix else F.lit(True)
+    ends = (path.rlike(P.glob_regex(f"*{suffix}")) | P.basename(path).rlike(P.glob_regex(suffix))) if suffix else F.lit(True)
     return under & ends
 
 

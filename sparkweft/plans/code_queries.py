@@ -42,17 +42,23 @@ def code_files(spark, d):
     return part.select(F.expr(I.PATH).alias("path"), F.expr(CODE).alias("text"), "p_partkey")
 
 
-@query()
+LINES = f"src AS (SELECT {I.PATH} AS path, 'import ' || replace(lower(p_name), ' ', '_') AS l1, 'class ' || {CAPITALS} || ':' AS l2, '    def run_' || p_partkey || '(self):' AS l3, '        return ' || p_size AS l4, {CAPITALS} AS cls, 'run_' || p_partkey AS fn FROM part)"
+
+
+@query(f"WITH {LINES} SELECT path, cls AS symbol, 'class' AS kind, 2 AS line, NULL AS container FROM src UNION ALL SELECT path, fn, 'function', 3, cls FROM src UNION ALL SELECT path, 'main', 'function', 6, cls FROM src")
 def symbols(spark, d):
     return K.symbols(code_files(spark, d))
 
 
-@query()
+@query(f"WITH {LINES} SELECT path, cls AS name, 2 AS first, 5 AS last, l2 || chr(10) || l3 || chr(10) || l4 || chr(10) AS body FROM src UNION ALL SELECT path, fn, 3, 5, l3 || chr(10) || l4 || chr(10) FROM src UNION ALL SELECT path, 'main', 6, 7, 'def main():' || chr(10) || '    pass' FROM src")
 def chunks(spark, d):
     return K.chunks(code_files(spark, d))
 
 
-@query()
+@query(
+    f"WITH {LINES}, b AS (SELECT path, [l1, l2, l3, l4, '', 'def main():', '    pass'] AS ls FROM src), s AS (SELECT path, i, ls[i] AS line, 2 * (CASE WHEN contains(lower(ls[i]), 'run') THEN 1 ELSE 0 END + CASE WHEN contains(lower(ls[i]), 'return') THEN 1 ELSE 0 END) + CASE WHEN regexp_matches(ls[i], '\\b(def|class|return|raise|import|func|fn|function|interface|struct)\\b') THEN 3 ELSE 0 END AS s FROM b, unnest(range(1, 8)) g(i)), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY s DESC, i) AS r FROM s) SELECT path, string_agg(line, chr(10) ORDER BY i) AS body FROM k WHERE r <= 4 OR i <= 2 GROUP BY path"
+)
 def prune_body(spark, d):
     return K.pruned_bodies(code_files(spark, d), ["run", "return"])
 
@@ -97,14 +103,14 @@ def subsystem_hubs(spark, d):
     return X.subsystem_summary(I.items(spark, d), C.degrees(G.edges_of(spark, d)).select("item_id", "degree"))
 
 
-RULES = [(1, None, "src/", None), (2, "endpoint", None, None), (3, None, None, 100), (4, "docs", "docs/", None)]
+RULES = [(1, None, "src/", None, None), (2, "endpoint", None, None, None), (3, None, None, None, 100), (4, "docs", "docs/", None, None), (5, None, None, "brass", None), (6, "docs", "sr", None, None)]
 
 
-@query(f"WITH {I.SQL_EDGES}, {IT}, {T.DEG}, rules AS (SELECT * FROM (VALUES (1, NULL, 'src/', NULL), (2, 'endpoint', NULL, NULL), (3, NULL, NULL, 100), (4, 'docs', 'docs/', NULL)) v(rule_id, rule_intent, path_prefix, degree_gte)), rq AS (SELECT item_id AS request_id, path, degree, CASE item_id % 2 WHEN 0 THEN 'docs' ELSE 'endpoint' END AS intent FROM items JOIN deg USING (item_id)) SELECT request_id, rule_id, CAST(nth AS INT) AS nth FROM (SELECT request_id, rule_id, row_number() OVER (PARTITION BY request_id ORDER BY rule_id) AS nth FROM rq JOIN rules ON (rule_intent IS NULL OR rule_intent = intent) AND (path_prefix IS NULL OR starts_with(path, path_prefix)) AND (degree_gte IS NULL OR degree >= degree_gte)) WHERE nth <= 5")
+@query(f"WITH {I.SQL_EDGES}, {IT}, {T.DEG}, rules AS (SELECT * FROM (VALUES (1, NULL, 'src/', NULL, NULL), (2, 'endpoint', NULL, NULL, NULL), (3, NULL, NULL, NULL, 100), (4, 'docs', 'docs/', NULL, NULL), (5, NULL, NULL, 'brass', NULL), (6, 'docs', 'sr', NULL, NULL)) v(rule_id, rule_intent, path_prefix, path_contains, degree_gte)), rq AS (SELECT item_id AS request_id, path, degree, CASE item_id % 2 WHEN 0 THEN 'docs' ELSE 'endpoint' END AS intent FROM items JOIN deg USING (item_id)) SELECT request_id, rule_id, CAST(nth AS INT) AS nth FROM (SELECT request_id, rule_id, row_number() OVER (PARTITION BY request_id ORDER BY rule_id) AS nth FROM rq JOIN rules ON (rule_intent IS NULL OR rule_intent = intent) AND (path_prefix IS NULL OR path = rtrim(path_prefix, '/') OR starts_with(path, rtrim(path_prefix, '/') || '/')) AND (path_contains IS NULL OR contains(path, path_contains)) AND (degree_gte IS NULL OR degree >= degree_gte)) WHERE nth <= 5")
 def routing_hints(spark, d):
     rq = I.items(spark, d).join(C.degrees(G.edges_of(spark, d)).select("item_id", "degree"), "item_id")
     rq = rq.select(F.col("item_id").alias("request_id"), "path", "degree", F.when(F.col("item_id") % 2 == 0, "docs").otherwise("endpoint").alias("intent"))
-    return X.routing_hints(rq, spark.createDataFrame(RULES, "rule_id int, rule_intent string, path_prefix string, degree_gte int"))
+    return X.routing_hints(rq, spark.createDataFrame(RULES, "rule_id int, rule_intent string, path_prefix string, path_contains string, degree_gte int"))
 
 
 @query("SELECT doc_id AS path, md5(text) AS signature FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 3")

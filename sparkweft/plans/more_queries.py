@@ -26,14 +26,14 @@ def query(sql: str | None = None):
     return add
 
 
-SYM = f"syms AS (SELECT {I.PATH} AS path, 'run_' || p_partkey AS symbol, 'def' AS kind FROM part UNION ALL SELECT {I.PATH}, 'main', 'def' FROM part)"
+SYM = f"syms AS (SELECT {I.PATH} AS path, 'run_' || p_partkey AS symbol, 'function' AS kind FROM part UNION ALL SELECT {I.PATH}, 'main', 'function' FROM part)"
 
 
 @query(f"WITH {SYM}, q AS (SELECT * FROM (VALUES (1, 'main'), (2, 'run_17'), (3, 'un_1')) v(query_id, query)), h AS (SELECT query_id, path, symbol, CASE WHEN symbol = query THEN 10 ELSE 5 END AS score FROM syms JOIN q ON contains(symbol, query)) SELECT query_id, path, symbol, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(symbol), symbol, path) AS rank FROM h) WHERE rank <= 20")
 def symbol_search(spark, d):
     """Functions whose name holds the query: whole names first, then the shortest."""
     q = spark.createDataFrame([(1, "main"), (2, "run_17"), (3, "un_1")], "query_id int, query string")
-    syms = K.symbols(N.code_files(spark, d)).where("kind = 'def'").select("path", "symbol")
+    syms = K.symbols(N.code_files(spark, d)).where("kind = 'function'").select("path", "symbol")
     hit = syms.join(F.broadcast(q), F.expr("contains(symbol, query)"))
     hit = hit.withColumn("score", F.when(F.col("symbol") == F.col("query"), 10).otherwise(5))
     return R.ranked(hit, "query_id", [F.desc("score"), F.length("symbol"), F.col("symbol"), F.col("path")], 20).select("query_id", "path", "symbol", "score", "rank")

@@ -46,10 +46,10 @@ def noise_filter(spark, d):
     return I.items(spark, d).where(~P.is_noise(F.col("path")))
 
 
-@query(f"WITH {IT} SELECT item_id, {TEST} AS ranking_test, {TEST} OR regexp_matches(path, '(^|/)test_[^/]*$') AS structural_test, regexp_matches(path, '(^|/)(node_modules|vendor|dist|build|target|__pycache__|coverage)/') AS excluded FROM items")
+@query(f"WITH {IT} SELECT item_id, {TEST} AS ranking_test, {TEST} OR regexp_matches(path, '(^|/)test_[^/]*$') AS structural_test, regexp_matches(path, '(^|/)(node_modules|vendor|dist|build|target|\\.venv|venv|Pods|\\.next|__pycache__|\\.git)(/|$)') OR path LIKE 'db/migrations/s%' OR path LIKE '%.yaml' AS excluded FROM items")
 def path_predicates(spark, d):
     p = F.col("path")
-    return I.items(spark, d).select("item_id", P.is_test(p).alias("ranking_test"), P.is_structural_test(p).alias("structural_test"), P.excluded(p).alias("excluded"))
+    return I.items(spark, d).select("item_id", P.is_test(p).alias("ranking_test"), P.is_structural_test(p).alias("structural_test"), P.excluded(p, patterns=["db/migrations/s*", "*.yaml"]).alias("excluded"))
 
 
 def _intent(q: str) -> str:

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..api import Engine
-from ..functions import code as K
 from ..functions import paths as P
 from ..operators import evaluate as E
 from ..operators import feedback as B
 from ..operators import retrieval as R
 from ..operators import selection as S
+from ..operators import tree as W
 from ..sources import inputs as I
 from ..session import shared_dir
 from ..sources import stores
@@ -65,7 +65,10 @@ def spec_title(spark, d):
     return I.read(spark, d, "conversations").select("conv_id", "turn", S.spec_title(F.col("text"), F.col("role")).alias("title"))
 
 
-@query()
+@query(
+    "WITH r AS (SELECT 'f' || (p_partkey % 20) AS path, lower(string_split(p_name, ' ')[1]) AS name, 'def ' || p_name || '()' AS signature, min(CAST(p_partkey AS INT)) AS line FROM part GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY line, signature) AS nth, count(*) OVER (PARTITION BY path, name) - 2 AS more FROM r), "
+    "p AS (SELECT path, name, line, signature, CASE WHEN nth = 2 AND more > 0 THEN more ELSE 0 END AS more, row_number() OVER (PARTITION BY path ORDER BY line, signature) AS place FROM k WHERE nth <= 2) SELECT path, name, line, signature, more FROM p WHERE place <= 20"
+)
 def signature_collapse(spark, d):
     part = I.read(spark, d, "part")
     rows = part.select(F.expr("'f' || (p_partkey % 20)").alias("path"), F.expr("lower(split(p_name, ' ')[0])").alias("name"), F.col("p_partkey").cast("int").alias("line"), F.concat(F.lit("def "), F.col("p_name"), F.lit("()")).alias("signature"))
@@ -88,7 +91,24 @@ def query_first(spark, d):
     return S.query_first({"bm25": T.bm25_search(spark, d), "embed": T.tfidf_search(spark, d)}, shape)
 
 
-@query()
+def _without(name: str, lists: dict[str, float]) -> str:
+    """Mean recall of the fusion of some lists, as a CTE of one row."""
+    u = " UNION ALL ".join(f"SELECT query_id, doc, {w}::DOUBLE / (60 + rank) AS s FROM l_{n}" for n, w in lists.items())
+    return (
+        f"fu_{name} AS (SELECT query_id AS case_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM (SELECT query_id, doc, round(sum(s), 9) AS score FROM ({u}) GROUP BY ALL)), "
+        f"re_{name} AS (SELECT avg(round(coalesce(found / n, 0), 6)) AS v FROM n LEFT JOIN (SELECT case_id, count(*) AS found FROM expected JOIN fu_{name} USING (case_id, doc) WHERE rank <= 5 GROUP BY case_id) USING (case_id))"
+    )
+
+
+_LISTS = {"bm25": 1.5, "tfidf": 1.0, "grep": 0.8}
+
+
+@query(
+    f"WITH {L.CASES}, l_bm25 AS ({T.SQL['bm25_search']}), l_tfidf AS ({T.SQL['tfidf_search']}), l_grep AS ({T.SQL['grep_baseline']}), {_without('all', _LISTS)}, "
+    + ", ".join(_without(n, {k: w for k, w in _LISTS.items() if k != n}) for n in _LISTS)
+    + " "
+    + " UNION ALL ".join(f"SELECT '{n}' AS signal, round((SELECT v FROM re_{n}), 6) AS without, round((SELECT v FROM re_all) - (SELECT v FROM re_{n}), 6) AS loss" for n in _LISTS)
+)
 def ablation_study(spark, d):
     """Recall of the fusion without each of its lists."""
     lists = {"bm25": (1.5, T.bm25_search(spark, d)), "tfidf": (1.0, T.tfidf_search(spark, d)), "grep": (0.8, T.grep_baseline(spark, d))}
@@ -137,7 +157,7 @@ def payload_cache(spark, d):
 @query("SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'ref\\(\\s*[''\"]([^''\"]+)[''\"]\\s*\\)', 1))) AS ref FROM (SELECT doc_id, 'select * from {{ ref(''m' || (doc_id % 7) || ''') }} join {{ ref(\"n' || (doc_id % 3) || '\") }}' AS text FROM documents)")
 def template_refs(spark, d):
     text = F.expr("""concat("select * from {{ ref('m", doc_id % 7, "') }} join {{ ref(\\"n", doc_id % 3, "\\") }}")""")
-    return I.read(spark, d, "documents").select("doc_id", F.explode(K.refs(text)).alias("ref"))
+    return I.read(spark, d, "documents").select("doc_id", F.explode(W.model_refs(text)).alias("ref"))
 
 
 @query(f"WITH {L.FOLD}, lw AS (SELECT path, ln(least(greatest(used / greatest(total, 1), 0.01), 0.99) / (1 - least(greatest(used / greatest(total, 1), 0.01), 0.99))) AS m, total FROM fold) SELECT path, round(least(0.75, total / (total + 40)) * 10 * m + (1 - least(0.75, total / (total + 40))) * 1.0, 6) AS score FROM lw")

@@ -73,7 +73,7 @@ def identifier_search(spark, d):
 # queries by symbol and path: the name of every twentieth part, and a few fixed ones
 NAMED = ["main", "run_17", "un_1", "class", "xyzzy", "def run_3 main", "RUN_20 other"]
 NQ = "nq AS (SELECT p_partkey AS query_id, p_name AS query FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT -1 - i, q FROM (SELECT unnest(range({})) AS i, unnest({}) AS q))".format(len(NAMED), sql_list(NAMED))
-SYMS = f"syms AS (SELECT {I.PATH} AS path, {N.CAPITALS} AS symbol, 'class' AS kind, 2 AS line FROM part UNION ALL SELECT {I.PATH}, 'run_' || p_partkey, 'def', 3 FROM part UNION ALL SELECT {I.PATH}, 'main', 'def', 6 FROM part)"
+SYMS = f"syms AS (SELECT {I.PATH} AS path, {N.CAPITALS} AS symbol, 'class' AS kind, 2 AS line FROM part UNION ALL SELECT {I.PATH}, 'run_' || p_partkey, 'function', 3 FROM part UNION ALL SELECT {I.PATH}, 'main', 'function', 6 FROM part)"
 
 
 def named_queries(spark, d):

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import code as K
 from ..operators import retrieval as R
 from ..operators import structure as X
+from ..session import checkpointed
 
-BUCKETS, MOST_BYTES = 64, 100_000
+BUCKETS = 64
 SCHEMAS = {
     "postings": "path string, term string, tf long, bucket int",
     "files": "path string, dl int, signature string, bucket int",
@@ -48,8 +49,6 @@ def _replace(spark: SparkSession, folder: str, name: str, gone: DataFrame, new:
     touched = F.broadcast(gone.select("bucket").distinct())  # BUCKETS at most
     kept = read_index(spark, folder, name).join(touched, "bucket", "left_semi").join(gone.select("path"), "path", "left_anti").select(*cols)
     out = kept.union(new.select(*cols))
-    from ..session import checkpointed
-
     rows = checkpointed(out)  # read in full before its source is replaced
     _put(rows, folder, name)
     empty = gone.select("bucket").distinct().join(rows.select("bucket").distinct(), "bucket", "left_anti")
@@ -61,17 +60,16 @@ def _replace(spark: SparkSession, folder: str, name: str, gone: DataFrame, new:
 def index_paths(docs: DataFrame, folder: str) -> None:
     """(path, text): these paths are indexed, in place of what the index had of them."""
     spark = docs.sparkSession
-    docs = docs.where(F.octet_length("text") < MOST_BYTES * 1000)
     posts = R.postings(docs, "path").select(F.col("doc").alias("path"), "term", F.col("tf").cast("long").alias("tf"), bucket(F.col("doc")).alias("bucket"))
     files = docs.select("path", F.regexp_count(F.lower("text"), F.lit(R.TERM)).cast("int").alias("dl"), signature(F.col("text")).alias("signature"), bucket(F.col("path")).alias("bucket"))
     symbols = K.symbols(docs).select("path", "symbol", "kind", "line", bucket(F.col("path")).alias("bucket"))
-    gone = docs.select("path", bucket(F.col("path")).alias("bucket"))
+    gone = checkpointed(docs.select("path", bucket(F.col("path")).alias("bucket")))
     for name, rows in (("postings", posts), ("symbols", symbols), ("files", files)):  # files last: they say what is done
         _replace(spark, folder, name, gone, rows)
 
 
 def delete_paths(spark: SparkSession, folder: str, paths: DataFrame) -> None:
-    gone = paths.select("path", bucket(F.col("path")).alias("bucket"))
+    gone = checkpointed(paths.select("path", bucket(F.col("path")).alias("bucket")))  # may come from the index itself
     for name in SCHEMAS:
         _replace(spark, folder, name, gone, read_index(spark, folder, name).limit(0))
 
@@ -98,8 +96,6 @@ def catch_up(docs: DataFrame, folder: str, *, step: int = 100, most: int | None
     left, done = before if most is None else min(before, most), 0
     while done < left:
         part = pending(docs, folder).orderBy("path").limit(min(step, left - done))
-        from ..session import checkpointed
-
         part = checkpointed(part)
         index_paths(docs.join(part, "path", "left_semi"), folder)
         done += part.count()

@@ -30,11 +30,11 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream-JSON transcripts: (file, type, tool, input_tokens, output_tokens) for each tool use or result line."""
+    """Stream-JSON transcripts: (file, type, tools, input_tokens, output_tokens, num_turns, total_cost_usd) for each line, the tools it uses in an array."""
     schema = "type string, message struct<content:array<struct<type:string,name:string>>,usage:struct<input_tokens:long,output_tokens:long>>, num_turns int, total_cost_usd double"
     lines = spark.read.text(folder).select(F.input_file_name().alias("file"), F.from_json("value", schema).alias("r")).where("r.type is not null")
-    tools = F.filter("r.message.content", lambda c: c.type == "tool_use")
-    return lines.select("file", "r.type", F.transform(tools, lambda c: c.name).alias("tools"), "r.message.usage.input_tokens", "r.message.usage.output_tokens", "r.num_turns", "r.total_cost_usd")
+    tools = F.filter("r.message.content", lambda c: c["type"] == "tool_use")
+    return lines.select("file", "r.type", F.transform(tools, lambda c: c["name"]).alias("tools"), "r.message.usage.input_tokens", "r.message.usage.output_tokens", "r.num_turns", "r.total_cost_usd")
 
 
 def read_source_files(spark: SparkSession, root: str, suffixes: list[str], max_bytes: int = 1 << 20) -> DataFrame:

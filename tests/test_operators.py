@@ -84,7 +84,7 @@ def test_paths(spark):
 
 def test_code():
     text = "class A:\n    def run(self):\n        return 1\n\ndef main():\n    pass"
-    assert K.symbols_of(text) == [("A", "class", 1, None), ("run", "def", 2, "A"), ("main", "def", 5, "A")]
+    assert K.symbols_of(text) == [("A", "class", 1, None), ("run", "function", 2, "A"), ("main", "function", 5, "A")]
     assert [(c[0], c[1], c[2]) for c in K.chunks_of(text)] == [("A", 1, 4), ("run", 2, 4), ("main", 5, 6)]
     assert K.normalized("a/./b/../c.py") == "a/c.py"
     assert K.pruned("\n".join(f"line {i}" for i in range(100)), ["line 7"]).split("\n")[:2] == ["line 0", "line 1"]
