@@ -186,7 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, pattern_words: int =
     Columns: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, then hit_runs (starts and
     ends of the runs of hit words, in turn) and items.  Null and empty texts have no words; an item
     with no words or a null id is no pattern; equal item_ids are one item.  Repeated documents give
-    repeated rows; other columns are not read.  With an empty benchmark nothing is hit.
+    repeated rows; other columns of any name are not read.  With an empty benchmark nothing is hit, and empty
+    documents give an empty result.  Long texts are searched whole; windows of several items at one place all count.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")

@@ -151,8 +151,9 @@ def fingerprints(docs: DataFrame, *, rows_a_range: int = 2000) -> DataFrame:
 
     One row for each input row.  The next document is the one with the next lower doc_id (rows that repeat
     a doc_id follow in the order of their texts, null ids come last), and after the last the first; a
-    lone document is its own next.  Null texts are empty; an empty text has an empty fingerprint.  Other
-    columns are not read.
+    lone document is its own next.  Null texts are empty; an empty text has an empty fingerprint.  Long texts are read
+    whole, with as many filters as their features need.  Equally rare windows of a neighbourhood go to the leftmost, equally
+    rare levels to the lower one.  An empty table gives an empty result; other columns of any name are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rank = rarity(docs)

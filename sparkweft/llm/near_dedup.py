@@ -274,8 +274,9 @@ def near_duplicates(docs: DataFrame, *, leaf: int = LEAF, depth: int = DEPTH) ->
 
     Rows are told apart by doc_id; a repeated doc_id with the same text is one document twice, and
     with other texts it links both.  A null or empty text, or one of blanks, has no shingles and is
-    linked with nothing.  A null doc_id keeps a null component and is not kept.  Other columns of any
-    name are not read.  An empty table gives an empty result.
+    linked with nothing.  A null doc_id keeps a null component and is not kept.  Long texts are compared by the full sets of
+    their shingles.  Of equals the smallest doc_id stands for the group.  Other columns of any name are not read.  An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")

@@ -96,8 +96,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, *, limit: int = LIMIT, ke
 
     ``tokenizer_path`` is a byte-level BPE in the tokenizers library's JSON form, readable on every
     executor.  Added special strings inside a text count as one token each, as is the library's
-    default; nothing is added, cut or padded.  Null and empty texts have no tokens.  Repeated rows
-    repeat; other columns are not read.
+    default; nothing is added, cut or padded.  Null and empty texts have no tokens; long texts are counted whole, by the
+    frequencies of their pre-tokens.  Exactly ``limit`` tokens are not over it.  Repeated rows repeat, an empty table gives an
+    empty result, and other columns of any name are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_count(tokenizer_path, limit, kept), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -350,3 +350,80 @@ def test_raking_that_cannot_settle_warns(spark):
     targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}
     with pytest.warns(UserWarning, match="not settled"):
         M.rake(cells, Scratch(spark, "t"), targets=targets, rounds=4)
+
+
+def plain_fingerprints(rows):
+    """likeness to the edited text and to the next document, window by window with dictionaries and sets; only the feature hash is shared."""
+    from sparkweft.llm.common import BYTE, prefix_hash, range_hash
+
+    def level(window):
+        sums = sum(int(P._TERM[c]) for c in Counter(window).values())
+        bits = np.log2(64) - sums / float(64 * (1 << 32))
+        return min(1000, max(0, int(np.floor(bits / np.log2(64) * 1000))))
+
+    def levels(raw):
+        return [level(raw[i : i + 64]) for i in range(len(raw) - 63)]
+
+    seen = Counter(x for _, t in rows for x in levels(t.encode()))
+    rank = {x: k for k, x in enumerate(sorted(range(1001), key=lambda x: (seen[x], x)))}
+
+    def chain(text):
+        raw = text.encode()
+        if len(raw) < 64:
+            found = [raw] if raw else []
+        else:
+            key = [(rank[x], i) for i, x in enumerate(levels(raw))]
+            span = min(64, len(key))
+            votes = Counter(min(key[i : i + span])[1] for i in range(len(key) - span + 1))
+            found = [raw[i : i + 64] for i in sorted(votes) if votes[i] >= min(16, len(key) - span + 1)]
+        found = list(dict.fromkeys(found))
+        out = []
+        for at in range(0, len(found), 160):
+            bits = set()
+            for f in found[at : at + 160]:
+                h = int(range_hash(prefix_hash(BYTE[np.frombuffer(f, dtype=np.uint8)]), np.array([0]), np.array([len(f)]))[0])
+                bits |= {(h >> (11 * k)) % 2048 for k in range(5)}
+            out.append(frozenset(bits))
+        return out
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        if not a or not b:
+            return 0.0
+        if len(a) > len(b):
+            a, b = b, a
+        best = [max((len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9) for y in b) for x in a]
+        return sum(min(1.0, max(0.0, v)) for v in best) / len(best)
+
+    order = sorted(rows, key=lambda r: -r[0])
+    chains = {d: chain(t) for d, t in order}
+    out = {}
+    for i, (d, t) in enumerate(order):
+        n, u = order[(i + 1) % len(order)]
+        half = len(t) // 2
+        out[d] = (like(chains[d], chain(t[: len(t) - half] + u[:half])), like(chains[d], chains[n]))
+    return out
+
+
+def test_likenesses_against_plain(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 2500").orderBy("doc_id").limit(40).collect()]
+    rows += [(10**6, ""), (10**6 + 1, "short"), (10**6 + 2, rows[0][1]), (10**6 + 3, rows[3][1] + " " + rows[4][1])]
+    want = plain_fingerprints(rows)
+    got = P.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), rows_a_range=10).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r["near_edited"] - want[r["doc_id"]][0]) < 1e-9 and abs(r["near_next"] - want[r["doc_id"]][1]) < 1e-9
+
+
+def test_tokens_of_long_texts(spark):
+    """Whole texts, the longest of the given table among them, as the library counts them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    want = {r["doc_id"]: len(tok.encode(r["text"] or "", add_special_tokens=False)) for r in docs.collect()}
+    assert max(map(len, (r["text"] for r in docs.collect()))) > 15_000
+    assert {r["doc_id"]: r["n_tokens"] for r in T.token_counts(docs, path).collect()} == want
