@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..session import checkpointed
-from .cochange import symmetric, top_neighbours
+from .cochange import UNIT, symmetric, top_neighbours, units
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, *, min_weight: float = CONFIG.min_weight, max_depth: int = CONFIG.max_depth, max_results: int = CONFIG.max_results) -> DataFrame:
@@ -97,14 +97,15 @@ def communities(components: DataFrame, *, max_size: int = 50) -> DataFrame:
 
 
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
-    """Weighted modularity of (item_id, component)."""
+    """Weighted modularity of (item_id, component), from sums in whole units, so that it does not depend on the order of rows."""
+    edges = edges.select("src", "dst", units(F.col("weight"), 1e9).cast("double").alias("weight"))  # whole numbers, summed exactly
     m = edges.agg(F.sum("weight").alias("m"))
     a, b = membership.select(F.col("item_id").alias("src"), F.col("component").alias("ca")), membership.select(F.col("item_id").alias("dst"), F.col("component").alias("cb"))
     inside = edges.join(a, "src").join(b, "dst").where("ca = cb").groupBy(F.col("ca").alias("component")).agg(F.sum("weight").alias("inside"))
     deg = symmetric(edges).join(a, "src").groupBy(F.col("ca").alias("component")).agg(F.sum("weight").alias("deg"))
     per = deg.join(inside, "component", "left").crossJoin(F.broadcast(m))
     term = F.coalesce("inside", F.lit(0.0)) / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), 2)
-    return per.agg(F.round(F.sum(term), 4).alias("modularity"))
+    return per.agg(F.round(F.sum(units(term)) / F.lit(UNIT), 4).alias("modularity"))
 
 
 def affected(links: DataFrame, changed: DataFrame, *, depth: int = 3) -> DataFrame:

@@ -147,8 +147,8 @@ def communities(spark, d):
 
 
 @query(
-    f"{COMP}, mem AS (SELECT p_partkey AS item_id, coalesce(component, p_partkey) AS c FROM part LEFT JOIN comp ON item_id = p_partkey), m AS (SELECT sum(weight) AS m FROM edges), ins AS (SELECT a.c, sum(weight) AS i FROM edges JOIN mem a ON a.item_id = src JOIN mem b ON b.item_id = dst WHERE a.c = b.c GROUP BY a.c), dg AS (SELECT c, sum(weight) AS g FROM sym JOIN mem ON item_id = src GROUP BY c) "
-    "SELECT round(sum(coalesce(i, 0) / m - pow(g / (2 * m), 2)), 4) AS modularity FROM dg LEFT JOIN ins ON ins.c = dg.c, m"
+    f"{COMP}, mem AS (SELECT p_partkey AS item_id, coalesce(component, p_partkey) AS c FROM part LEFT JOIN comp ON item_id = p_partkey), eu AS (SELECT src, dst, round(weight * 1e9) AS weight FROM edges), su AS (SELECT src, round(weight * 1e9) AS weight FROM sym), m AS (SELECT sum(weight) AS m FROM eu), ins AS (SELECT a.c, sum(weight) AS i FROM eu JOIN mem a ON a.item_id = src JOIN mem b ON b.item_id = dst WHERE a.c = b.c GROUP BY a.c), dg AS (SELECT c, sum(weight) AS g FROM su JOIN mem ON item_id = src GROUP BY c) "
+    "SELECT round(CAST(sum(CAST(round((coalesce(i, 0) / m - pow(g / (2 * m), 2)) * 1e12) AS BIGINT)) AS DOUBLE) / 1e12, 4) AS modularity FROM dg LEFT JOIN ins ON ins.c = dg.c, m"
 )
 def modularity(spark, d):
     edges = edges_of(spark, d)
