@@ -40,6 +40,7 @@ def walk_scores(edges: DataFrame, seeds: DataFrame, *, steps: int = 6, restart:
     """
     hop = top_neighbours(edges, k).select("src", "dst", "weight")
     hop = hop.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("src"))).select("src", "dst", "share")
+    hop = checkpointed(hop)  # read once a step
     seeds = seeds.select("request_id", F.col("item_id").alias("seed")).distinct()
     mass = seeds.select("request_id", "seed", F.col("seed").alias("item_id"), F.lit(1.0).alias("p"))
     parts = [mass]

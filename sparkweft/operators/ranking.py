@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG, EngineConfig
 from ..functions import paths as P
+from ..session import checkpointed
 from . import graph as G
 from . import retrieval as R
 
@@ -38,11 +39,13 @@ def stage1(edges: DataFrame, seeds: DataFrame, *, expansion: str = "bfs", cap: i
 
 def iterative(edges: DataFrame, seeds: DataFrame, *, rounds: int = 2, again: int = 25, **how) -> DataFrame:
     """Stage one in rounds: each starts from the first ``again`` additions of the one before; an item keeps its first round."""
+    edges = checkpointed(edges.select("src", "dst", "weight"))  # read in every round
     pool, parts = seeds.select("request_id", "item_id"), []
     for turn in range(rounds):
         found = stage1(edges, pool, **how).withColumn("round", F.lit(turn))
         for before in parts:
             found = found.join(before.select("request_id", "item_id"), ["request_id", "item_id"], "left_anti")
+        found = checkpointed(found)
         parts.append(found)
         pool = R.ranked(found.drop("rank").withColumnRenamed("weight", "w"), "request_id", [F.desc("w"), F.col("item_id")], again).select("request_id", "item_id")
     return reduce(DataFrame.union, [p.select("request_id", "item_id", "depth", "weight", "signal", "round") for p in parts])
