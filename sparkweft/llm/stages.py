@@ -45,9 +45,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents with a window of any benchmark item go; a passage of one item is a leak already.
 
     Documents without words, and all of them if the benchmark is empty, stay.  Repeated rows are decided alike.
+    A batch of the benchmark is searched for in what the batches before it left, which was written first, so that a
+    task holds the patterns of one batch; two copies of the documents lie in scratch at most.
     """
-    out = docs
-    for items in decontaminate._batches(table(spark, sf_dir, "benchmark"), decontaminate.PATTERN_WORDS):
+    scratch, out, held = Scratch(spark, "decontamination"), docs, []
+    for k, items in enumerate(decontaminate._batches(table(spark, sf_dir, "benchmark"), decontaminate.PATTERN_WORDS)):
+        if k:
+            out = scratch.keep(out)
+            scratch.drop(*held)
+            held = [out]
         matcher = decontaminate.Matcher(items)
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from sparkweft.llm import stages
+from sparkweft.llm import decontaminate, stages
 from test_corpus_operators import plain_profiles
 from test_near_dedup import brute
 
@@ -104,3 +104,16 @@ def test_near_dedup_stage_keeps_texts_without_or_under_one_id(spark):
     groups = [{text(1)}, {text(2), near(2)}, {text(3)}, {text(4), near(4)}, {text(5), near(5)}, {text(6), near(6)}]
     assert all(sum(t in g for _, t in got) == 1 for g in groups)
     assert (9, text(6)) in got and (2, near(5)) in got
+
+
+def test_decontamination_holds_one_batch_of_the_benchmark(spark, tmp_path, monkeypatch):
+    """However many batches the benchmark makes, a task searches for one, and no leak is lost between them."""
+    text = lambda k: " ".join(f"b{k}x{i}" for i in range(12))
+    spark.createDataFrame([(k, text(k)) for k in range(30)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k, f"before {text(k)} after" if k < 30 else f"clean {k}") for k in range(40)] + [(40, None), (41, "clean"), (41, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "PATTERN_WORDS", 400)
+    assert len(list(decontaminate._batches(spark.read.parquet(f"{tmp_path}/benchmark.parquet"), 400))) > 2
+    out = stages.decontamination(spark, docs, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(30, 41), 41, 41]
