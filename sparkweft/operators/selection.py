@@ -88,12 +88,22 @@ def ablation(cases: dict[str, DataFrame], full: DataFrame, metric: str = "recall
 
 
 def path_hits(paths: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(item_id, path) x (query_id, query): paths by how many of the query's terms they hold."""
-    terms = F.array_distinct(F.filter(F.split(F.lower("path"), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
-    index = paths.select(F.col("item_id").alias("doc"), "path", F.explode(terms).alias("term"))
-    q = queries.select("query_id", F.explode(F.array_distinct(R.query_terms(F.col("query")))).alias("term"))
-    hit = index.join(q, "term").groupBy("query_id", "doc", "path").agg(F.count("*").alias("score"))
-    return R.ranked(hit, "query_id", [F.desc("score"), F.col("path")], k)
+    """(item_id, path) x (query_id, query): paths by how many of the query's terms they hold.
+
+    Queries of one text are one search, and of the paths that hold the same wanted terms, which score alike, only the first k are compared.
+    """
+
+    def search(texts: DataFrame) -> DataFrame:
+        terms = F.array_distinct(F.filter(F.split(F.lower("path"), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
+        q = texts.select("query_id", F.explode(F.array_distinct(R.query_terms(F.col("query")))).alias("term"))
+        index = paths.select(F.col("item_id").alias("doc"), "path", F.explode(terms).alias("term"))
+        index = index.join(R.sized_broadcast(q.select("term").distinct()), "term", "left_semi")
+        held = index.groupBy("doc", "path").agg(F.sort_array(F.collect_set("term")).alias("held"))
+        first = R.ranked(held, "held", [F.col("path"), F.col("doc")], k)
+        hit = first.select("doc", "path", F.explode("held").alias("term")).join(q, "term").groupBy("query_id", "doc", "path").agg(F.count("*").alias("score"))
+        return R.ranked(hit, "query_id", [F.desc("score"), F.col("path")], k)
+
+    return R.by_text(queries, search)
 
 
 def savings(subset: Column, full: Column) -> Column:
