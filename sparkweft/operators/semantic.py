@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions import paths as P
+from ..session import checkpointed
 from . import retrieval as R
+from . import scan
 
 # Words that are no search terms, the word and split patterns of identifiers.
 STOP_WORDS = (
@@ -50,6 +52,9 @@ def identifier_postings(docs: DataFrame, key: str, text: str = "text", wanted: D
 def identifier_search(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", k: int = 20) -> DataFrame:
     """(query_id, query) -> (query_id, doc, score, rank): tf * ln(N / df) over the terms of the query, N counting documents with terms."""
     q = queries.select("query_id", F.explode(expanded(F.col("query"))).alias("term"))
+    rows = docs.select(F.col(key).alias("doc"), identifiers(F.col("text")).alias("t"))
+    if R.is_small(q) and scan.unique_key(rows, "doc"):
+        return R.tfidf_of(rows, q, "filled", k)
     index = identifier_postings(docs, key, wanted=q)
     n = docs.agg(F.count(F.when(F.regexp_count("text", F.lit(R.TERM)) > 0, 1)).alias("n"))
     df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
@@ -99,7 +104,11 @@ def symbol_bm25(symbols: DataFrame, queries: DataFrame, *, k: int = 20, k1: floa
     missed = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     few = missed.select("query_id", F.explode(F.slice(_words(F.col("query")), 1, 4)).alias("term")).withColumn("low", F.lower("term"))
     held = R.term_runs(symbols.select(F.lower("symbol").alias("run")).where(F.length("run") >= 3).distinct(), few.select(F.col("low").alias("term")).distinct())
-    part_of = few.join(held.select(F.col("term").alias("low"), "run"), "low").join(symbols.withColumn("run", F.lower("symbol")), "run")
+    held = checkpointed(held.select(F.col("term").alias("low"), "run"))
+    # of a symbol that a term is part of, the first k paths will do, as they score alike
+    named = symbols.withColumn("run", F.lower("symbol")).join(R.sized_broadcast(held.select("run").distinct()), "run", "left_semi")
+    named = R.ranked(named.groupBy("run", "symbol", "path").agg(F.min("line").alias("line")), "symbol", [F.col("path"), F.col("line")], k).drop("rank")
+    part_of = few.join(held, "low").join(named, "run")
     part_of = part_of.groupBy("query_id", "path", "symbol").agg(F.max(F.when(F.col("symbol") == F.col("term"), 10.0).otherwise(5.0)).alias("score"), F.min("line").alias("line"))
     every = found.select("query_id", "path", "symbol", "line", "score").union(part_of.select("query_id", "path", "symbol", "line", "score"))
     return R.ranked(every, "query_id", [F.desc("score"), F.length("symbol"), F.col("symbol"), F.col("path"), F.col("line")], k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code as K
@@ -11,6 +14,7 @@ from ..operators import payload as Y
 from ..operators import retrieval as R
 from ..operators import selection as S
 from ..operators import semantic as M
+from ..session import checkpointed
 from ..sources import inputs as I
 from . import code_queries as N
 from . import graph_queries as G
@@ -101,7 +105,7 @@ def symbol_table(spark, d):
 
 @query(f"WITH {SYMS}, {NQ}, {SYMBOL_SQL} SELECT query_id, path, symbol, line, score, CAST(rank AS INT) AS rank FROM srank WHERE rank <= 20")
 def symbol_bm25(spark, d):
-    return M.symbol_bm25(symbol_table(spark, d), named_queries(spark, d))
+    return R.by_text(named_queries(spark, d), lambda q: M.symbol_bm25(symbol_table(spark, d), q))
 
 
 PATH_SQL = (
@@ -119,19 +123,19 @@ CAND = (
 )
 
 
-def path_list(spark, d, k):
-    return S.path_hits(I.items(spark, d), named_queries(spark, d), k)
+def path_list(spark, d, q, k):
+    return S.path_hits(I.items(spark, d), q, k)
 
 
-def candidates(spark, d):
-    paths = path_list(spark, d, 3 * K_CAP).select("query_id", F.col("path").alias("doc"), F.col("rank").alias("place"))
-    syms = M.symbol_bm25(symbol_table(spark, d), named_queries(spark, d), k=2 * K_CAP).select("query_id", F.col("path").alias("doc"), (F.col("rank") + 1000).alias("place"))
+def candidates(spark, d, q):
+    paths = path_list(spark, d, q, 3 * K_CAP).select("query_id", F.col("path").alias("doc"), F.col("rank").alias("place"))
+    syms = M.symbol_bm25(symbol_table(spark, d), q, k=2 * K_CAP).select("query_id", F.col("path").alias("doc"), (F.col("rank") + 1000).alias("place"))
     return paths.union(syms).groupBy("query_id", "doc").agg(F.min("place").alias("place"))
 
 
 @query(f"WITH {SYMS}, {NQ}, {I.SQL_ITEMS}, {CODE}, {SYMBOL_SQL}, {PATH_SQL}, {CAND} SELECT * FROM capped")
 def capped_tfidf(spark, d):
-    return M.capped_tfidf(N.code_files(spark, d), candidates(spark, d), named_queries(spark, d), k=K_CAP)
+    return R.by_text(named_queries(spark, d), lambda q: M.capped_tfidf(N.code_files(spark, d), candidates(spark, d, q), q, k=K_CAP))
 
 
 CODE_BM25 = (
@@ -142,9 +146,8 @@ CODE_BM25 = (
 )
 
 
-def code_bm25(spark, d, k=30):
-    docs, q = N.code_files(spark, d), named_queries(spark, d)
-    return R.bm25(R.postings(docs, "path", wanted=R.all_terms(q)), R.corpus_size(docs), q, k=k)
+def code_bm25(spark, d, q, k=30):
+    return R.bm25_of(N.code_files(spark, d), q, key="path", k=k)
 
 
 MODE = "mode AS (SELECT query_id, query_id % 3 <> 0 AS prefer_bm25, query_id % 2 = 0 AS large_graph FROM nq)"
@@ -158,8 +161,8 @@ def semantic_dispatch(spark, d):
     """Every query by the way its request allows: here two of three prefer BM25, and every other is on a large graph."""
     q = named_queries(spark, d)
     mode = q.select("query_id", (F.col("query_id") % 3 != 0).alias("prefer_bm25"), (F.col("query_id") % 2 == 0).alias("large_graph"))
-    full = M.identifier_search(N.code_files(spark, d), q, key="path", k=15)
-    return M.dispatched(mode, code_bm25(spark, d), capped_tfidf(spark, d), full)
+    full = R.by_text(q, lambda t: M.identifier_search(N.code_files(spark, d), t, key="path", k=15))
+    return M.dispatched(mode, R.by_text(q, lambda t: code_bm25(spark, d, t)), capped_tfidf(spark, d), full)
 
 
 @query("WITH f AS (SELECT v, CASE WHEN v % 5 = 0 THEN ' ' ELSE 'query' END AS query, v % 2 = 0 AS hf, v % 3 = 0 AS lg, v % 4 = 0 AS qo FROM (SELECT unnest(range(60)) AS v)) SELECT v, NOT hf AND NOT lg AS seed_hybrid, trim(query) <> '' AND NOT hf AND (NOT lg OR qo) AS semantic, CASE WHEN lg AND qo THEN 10 ELSE 15 END AS top_n, lg AND qo AS prefer_bm25 FROM f")
@@ -185,17 +188,20 @@ LISTS = ", ".join([
 ])
 
 
-def lists_of(spark, d):
+def lists_of(spark, d, q):
     """The path, symbol and text lists of each query, noise taken out."""
-    paths = path_list(spark, d, 30).select("query_id", F.col("path").alias("doc"), F.col("score").cast("double").alias("score"), "rank")
-    syms = M.symbol_bm25(symbol_table(spark, d), named_queries(spark, d), k=30).select("query_id", F.col("path").alias("doc"), "score")
-    return {"path": M.without_noise(paths), "symbol": M.without_noise(M.max_merged(syms, ["query_id", "doc"], 30)), "bm25": M.without_noise(code_bm25(spark, d))}
+    paths = path_list(spark, d, q, 30).select("query_id", F.col("path").alias("doc"), F.col("score").cast("double").alias("score"), "rank")
+    syms = M.symbol_bm25(symbol_table(spark, d), q, k=30).select("query_id", F.col("path").alias("doc"), "score")
+    return {"path": M.without_noise(paths), "symbol": M.without_noise(M.max_merged(syms, ["query_id", "doc"], 30)), "bm25": M.without_noise(code_bm25(spark, d, q))}
 
 
 @query(f"WITH {SYMS}, {NQ}, {I.SQL_ITEMS}, {CODE}, {SYMBOL_SQL}, {PATH_SQL}, {CODE_BM25}, {LISTS} SELECT 'path' AS source, * FROM lp UNION ALL SELECT 'symbol', * FROM ls UNION ALL SELECT 'bm25', * FROM lb")
 def retriever_lists(spark, d):
-    parts = [df.select(F.lit(n).alias("source"), "query_id", "doc", "score", "rank") for n, df in lists_of(spark, d).items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    def search(q):
+        parts = [df.select(F.lit(n).alias("source"), "query_id", "doc", "score", "rank") for n, df in lists_of(spark, d, q).items()]
+        return parts[0].union(parts[1]).union(parts[2])
+
+    return R.by_text(named_queries(spark, d), search)
 
 
 VECTOR = "list_transform(range(32), lambda i: ('0x' || substr(sha256({0}), CAST(i * 2 + 1 AS INT), 2))::INT / 255.0::DOUBLE - 0.5)"
@@ -219,8 +225,8 @@ def neighbour_pool(spark, d):
     return cochange_list(spark, d)
 
 
-def embed_list(spark, d):
-    q = S.hash_embeddings(named_queries(spark, d), "query_id", "query")
+def embed_list(spark, d, q):
+    q = S.hash_embeddings(q, "query_id", "query")
     v = S.hash_embeddings(I.items(spark, d), "path", "path").withColumnRenamed("path", "vec_id")
     return R.vector_topk(v, q, 30).withColumnRenamed("vec_id", "doc")
 
@@ -239,7 +245,15 @@ def five_list_retrieval(spark, d):
     """Paths by all five lists under the plan of each query's shape."""
     q = F.col("query")
     shape = named_queries(spark, d).select("query_id", F.when(P.looks_like_symbol(q), "symbol_like").when(P.is_concept(q), "concept").otherwise("default").alias("plan"))
-    return S.query_first(lists_of(spark, d) | {"embed": embed_list(spark, d), "co_change": cochange_list(spark, d)}, shape, limit=50)
+    names = ["path", "symbol", "bm25", "embed"]
+
+    def search(q):
+        lists = lists_of(spark, d, q) | {"embed": embed_list(spark, d, q)}
+        return reduce(DataFrame.union, [lists[n].select("query_id", "doc", "rank", F.lit(n).alias("source")) for n in names])
+
+    found = checkpointed(R.by_text(named_queries(spark, d), search))  # read once a list
+    lists = {n: found.where(F.col("source") == n).select("query_id", "doc", "rank") for n in names}
+    return S.query_first(lists | {"co_change": cochange_list(spark, d)}, shape, limit=50)
 
 
 # --- payloads -------------------------------------------------------------------------------------
