@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..session import checkpointed, sorted_side
 
 
 def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
@@ -20,11 +21,22 @@ def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
     # the two best of a key will do, as a file is not its own import
     known = known.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.length("dst"), "dst"))).where("nth <= 2").drop("nth")
     want = refs.select(F.col("path").alias("src"), "ref", F.regexp_replace(F.regexp_replace("ref", r"^(\./|\.\./)+", ""), r"[.:]+", "/").alias("key"))
-    hit = want.join(known, "key").where("src <> dst")
+    hit = want.join(sorted_side(known), "key").where("src <> dst")
     first = F.row_number().over(Window.partitionBy("src", "ref").orderBy(F.length("dst"), "dst"))
     return hit.withColumn("nth", first).where("nth = 1").select("src", "dst").distinct()
 
 
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """Rows of distinct values with their place n from 1 in the order of the column, and the next value; no task has more than a range of them."""
+    ranged = checkpointed(rows.repartitionByRange(column).withColumn("part", F.spark_partition_id()))
+    by = Window.orderBy("first")  # over a row a range
+    before = F.coalesce(F.sum("c").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("part").agg(F.count("*").alias("c"), F.min(column).alias("first")).select("part", before.alias("before"), F.lead("first").over(by).alias("after"))
+    own = Window.partitionBy("part").orderBy(column)
+    out = ranged.join(F.broadcast(parts), "part")
+    return out.select(*rows.columns, (F.col("before") + F.row_number().over(own)).alias("n"), F.coalesce(F.lead(column).over(own), F.col("after")).alias("next"))
+
+
 def paired_tests(files: DataFrame, cap: int = 10) -> DataFrame:
     """(path) -> (test, impl): files that share a mirror key, at most ``cap`` for each test."""
     rows = files.select("path", P.mirror_key(F.col("path")).alias("mirror"), P.is_structural_test(F.col("path")).alias("t"))

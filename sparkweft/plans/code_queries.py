@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..operators import cochange as C
 from ..operators import retrieval as R
 from ..operators import structure as X
+from ..session import sorted_side
 from ..sources import inputs as I
 from . import graph_queries as G
 from . import retrieval_queries as T
@@ -88,7 +89,7 @@ def naming_pairs(spark, d):
 def resolve_imports(spark, d):
     """Every item imports the item three on by the stem of its path."""
     it = I.items(spark, d)
-    refs = it.select((F.col("item_id") + 3).alias("item_id"), F.col("path").alias("src")).join(it, "item_id").select(F.col("src").alias("path"), P.stem(F.col("path")).alias("ref"))
+    refs = it.select((F.col("item_id") + 3).alias("item_id"), F.col("path").alias("src")).join(sorted_side(it), "item_id").select(F.col("src").alias("path"), P.stem(F.col("path")).alias("ref"))
     return X.resolve_imports(refs, it)
 
 
