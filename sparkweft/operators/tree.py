@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..session import checkpointed
+from ..session import checkpointed, dealt, sorted_side
 from . import graph as G
 from . import structure as X
 from .cochange import symmetric
@@ -130,34 +130,46 @@ def naming_variants(files: DataFrame, cap: int = 10) -> DataFrame:
     stem = P.stem(F.col("path"))
     base = F.replace(F.replace(F.replace(stem, F.lit("_controller"), F.lit("")), F.lit("_service"), F.lit("")), F.lit("_helper"), F.lit(""))
     put = lambda form, x: F.concat(F.lit(form.split("{0}")[0]), x, F.lit(form.split("{0}")[1]))
-    forms = F.array_distinct(F.array(*[put(f, stem) for f in TWIN_FORMS], *[put(f, base) for f in ROLE_FORMS]))
+    # a twin is asked what it is a form of, as few names are: of a stem (0), or of a base (1); what it is not is null
+    def made(x, key, i):
+        head, tail = key.split("{0}")
+        body = F.substring(x, len(head) + 1, F.length(x) - len(head) - len(tail))
+        fits = (F.length(x) >= len(head) + len(tail)) & F.startswith(x, F.lit(head)) & F.endswith(x, F.lit(tail))
+        return F.when(fits, F.struct(F.lit(i).alias("of"), body.alias("name")))
+
+    forms = F.array_distinct(F.array_compact(F.array(*[made(F.col("stem"), f, 0) for f in TWIN_FORMS], *[made(F.col("stem"), f, 1) for f in ROLE_FORMS])))
+    known = files.select(F.col("path").alias("twin"), stem.alias("stem")).select("twin", "stem", F.explode(forms).alias("form")).select("twin", "stem", "form.*")
     # the first of each stem will do, one more than the cap as a path may be among them
-    nth = F.row_number().over(Window.partitionBy("stem").orderBy("twin"))
-    known = files.select(F.col("path").alias("twin"), stem.alias("stem")).withColumn("nth", nth).where(F.col("nth") <= cap + 1).drop("nth")
-    pairs = files.select("path", F.explode(forms).alias("stem")).join(known, "stem").where("path <> twin")
+    known = known.withColumn("nth", F.row_number().over(Window.partitionBy("of", "name", "stem").orderBy("twin"))).where(F.col("nth") <= cap + 1)
+    asked = files.select("path", F.explode(F.array(F.struct(F.lit(0).alias("of"), stem.alias("name")), F.struct(F.lit(1).alias("of"), base.alias("name")))).alias("form"))
+    pairs = asked.select("path", "form.*").join(sorted_side(known.select("of", "name", "twin")), ["of", "name"]).where("path <> twin")
     return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("twin"))).where(F.col("nth") <= cap).select("path", "twin")
 
 
-def test_targets(files: DataFrame) -> DataFrame:
-    """(path) -> (test, impl): a test's file beside it, above it or in src, else the first of its stem that is no test."""
+def test_targets(files: DataFrame, *, size: int = 0) -> DataFrame:
+    """(path) -> (test, impl): a test's file beside it, above it or in src, else the first of its stem that is no test.
+
+    With ``size``, about how many files there are, no task has more of them as they grow.
+    """
     path = F.col("path")
     stem = F.regexp_replace(F.regexp_replace(F.lower(P.stem(path)), r"(_test|_spec)$", ""), "^test_", "")
     suffix = F.regexp_extract(P.basename(path), r"(\.[^.]+)$", 1)
     join = lambda folder: F.concat(F.when(folder == "", F.lit("")).otherwise(F.concat(folder, F.lit("/"))), stem, suffix)
     tests = files.where(P.is_structural_test(path) | matches_glob(path, TEST_GLOBS))
     wanted = F.array(*[F.struct(F.lit(i).alias("order"), c.alias("impl")) for i, c in enumerate((join(P.parent(path)), join(P.parent(P.parent(path))), F.concat(F.lit("src/"), stem, suffix)))])
-    beside = tests.select(path.alias("test"), F.explode(wanted).alias("w")).select("test", "w.*").join(files.select(path.alias("impl")), "impl").select("test", "order", "impl")
-    plain = files.where(~P.is_structural_test(path)).groupBy(F.lower(P.stem(path)).alias("stem")).agg(F.min("path").alias("impl"))
-    named = tests.select(path.alias("test"), stem.alias("stem")).join(plain, "stem").select("test", F.lit(9).alias("order"), "impl")
+    asked = dealt(tests.select(path.alias("test"), F.explode(wanted).alias("w")).select("test", "w.*"), 3 * size, "impl")
+    beside = asked.join(sorted_side(dealt(files.select(path.alias("impl")), 3 * size, "impl")), "impl").select("test", "order", "impl")
+    plain = dealt(files.where(~P.is_structural_test(path)).select("path", F.lower(P.stem(path)).alias("stem")), size, "stem").groupBy("stem").agg(F.min("path").alias("impl"))
+    named = dealt(tests.select(path.alias("test"), stem.alias("stem")), size, "stem").join(sorted_side(plain), "stem").select("test", F.lit(9).alias("order"), "impl")
     first = F.row_number().over(Window.partitionBy("test").orderBy("order", "impl"))
-    return beside.union(named).where("test <> impl").withColumn("nth", first).where("nth = 1").select("test", "impl")
+    return dealt(beside.union(named).where("test <> impl"), 2 * size, "test").withColumn("nth", first).where("nth = 1").select("test", "impl")
 
 
-def affected_tests(files: DataFrame, links: DataFrame, changed: DataFrame, *, depth: int = 3) -> DataFrame:
+def affected_tests(files: DataFrame, links: DataFrame, changed: DataFrame, *, depth: int = 3, size: int = 0) -> DataFrame:
     """Files, links (src depends on dst, kind) and changed paths -> (path, depth, is_test): the reverse walk over the kinds that bind, with tests by name."""
-    near = G.affected(links.where(F.col("kind").isin(EDGE_KINDS)), changed.join(files, "path", "left_semi"), depth=depth)
+    near = G.affected(links.where(F.col("kind").isin(EDGE_KINDS)), changed.join(sorted_side(files), "path", "left_semi"), depth=depth)
     walked = near.select("path", "depth", (P.is_structural_test(F.col("path")) | matches_glob(F.col("path"), TEST_GLOBS)).alias("is_test"))
-    named = test_targets(files).join(near.withColumnRenamed("path", "impl"), "impl").select(F.col("test").alias("path"), "depth", F.lit(True).alias("is_test"))
+    named = test_targets(files, size=size).join(sorted_side(near.withColumnRenamed("path", "impl")), "impl").select(F.col("test").alias("path"), "depth", F.lit(True).alias("is_test"))
     return walked.union(named).groupBy("path").agg(F.min("depth").alias("depth"), F.max("is_test").alias("is_test"))
 
 

@@ -38,6 +38,11 @@ def many_files(spark, d):
     return it.select("path").union(named)
 
 
+def many_size(spark, d):
+    """About how many files there are."""
+    return I.read(spark, d, "part").count() * (3 + len(FORMS)) // 3
+
+
 BASE = "regexp_extract({}, '([^/]*)$', 1)"
 GLOB = "(" + " OR ".join(f"{BASE.format('path')} GLOB '{g}' OR path GLOB '{g}'" for g in W.TEST_GLOBS) + ")"
 
@@ -143,7 +148,7 @@ TARGETS = (
 
 @query(f"WITH {IT}, {MANY}, {TARGETS} SELECT test, impl FROM targets")
 def inferred_tests(spark, d):
-    return W.test_targets(many_files(spark, d))
+    return W.test_targets(many_files(spark, d), size=many_size(spark, d))
 
 
 # imports between files: every file of many depends on the one after it in order, of a kind by turns
@@ -151,13 +156,9 @@ KINDS = "ord AS (SELECT path, row_number() OVER (ORDER BY path) AS n FROM (SELEC
 
 
 def depends(spark, d):
-    from pyspark.sql import Window
-
-    ordered = many_files(spark, d).distinct()
-    near = F.lead("path").over(Window.orderBy("path"))
-    n = F.row_number().over(Window.orderBy("path"))
     kind = F.get(F.array(*[F.lit(k) for k in ("calls", "inherits", "imports", "tests")]), (F.col("n") % 4).cast("int"))
-    return ordered.select(F.col("path").alias("src"), near.alias("dst"), n.alias("n")).where("dst is not null").select("src", "dst", kind.alias("kind"))
+    rows = X.numbered(many_files(spark, d).distinct(), "path").where("next is not null")
+    return rows.select(F.col("path").alias("src"), F.col("next").alias("dst"), kind.alias("kind"))
 
 
 @query(
@@ -168,7 +169,7 @@ def affected_tests(spark, d):
     """What depends on changed files within three hops over the kinds that bind, and the tests that are named after it."""
     files = many_files(spark, d)
     changed = files.where(F.contains("path", F.lit("src/m1"))).distinct()
-    return W.affected_tests(files, depends(spark, d), changed)
+    return W.affected_tests(files, depends(spark, d), changed, size=many_size(spark, d))
 
 
 @query(
