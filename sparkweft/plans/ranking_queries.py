@@ -11,6 +11,7 @@ from ..operators import cochange as C
 from ..operators import evaluate as E
 from ..operators import learning as Z
 from ..operators import ranking as Q
+from ..session import checkpointed
 from ..sources import index as X
 from ..sources import inputs as I
 from ..sources import records as O
@@ -358,7 +359,7 @@ def lambdamart_ranker(spark, d):
 @query()
 def feedback_replay(spark, d):
     """A ranker learned from synthesized feedback, saved only if it helps the cases held out."""
-    rows = candidate_features(spark, d)
+    rows = checkpointed(candidate_features(spark, d))  # read in every step
     expected = rows.where(F.crc32("path") % 7 == 0).select("request_id", "path")
     held = rows.select("request_id").distinct().where("request_id % 3 = 0")
     out = Z.replay(rows, expected, held, ["co_change", "bm25", "locality", "hub_penalty"], "co_change", prefer="logistic")
