@@ -43,7 +43,10 @@ def expanded(query: Column) -> Column:
 
 def identifier_postings(docs: DataFrame, key: str, text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
     """(term, doc, tf) of the identifier index, of the ``wanted`` terms only if given."""
-    rows = docs.select(F.col(key).alias("doc"), F.explode(identifiers(F.col(text))).alias("term"))
+    terms = docs.select(F.col(key).alias("doc"), identifiers(F.col(text)).alias("t"))
+    if wanted is None and scan.unique_key(terms, "doc"):
+        return scan.term_counts(terms).select("term", "doc", "tf")
+    rows = terms.select("doc", F.explode("t").alias("term"))
     if wanted is not None:
         rows = rows.join(R.sized_broadcast(wanted.select("term").distinct()), "term", "left_semi")
     return rows.groupBy("term", "doc").agg(F.count("*").alias("tf"))
@@ -52,9 +55,14 @@ def identifier_postings(docs: DataFrame, key: str, text: str = "text", wanted: D
 def identifier_search(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", k: int = 20) -> DataFrame:
     """(query_id, query) -> (query_id, doc, score, rank): tf * ln(N / df) over the terms of the query, N counting documents with terms."""
     q = queries.select("query_id", F.explode(expanded(F.col("query"))).alias("term"))
-    rows = docs.select(F.col(key).alias("doc"), identifiers(F.col("text")).alias("t"))
+    rows = docs.select(F.col(key).alias("doc"), _words(F.col("text")).alias("t"))
     if R.is_small(q) and scan.unique_key(rows, "doc"):
-        return R.tfidf_of(rows, q, "filled", k)
+        # each distinct word is taken apart once
+        words = rows.select(F.explode("t").alias("word")).distinct().select("word", F.explode(identifiers(F.col("word"))).alias("term"))
+        words = words.join(R.sized_broadcast(q.select("term").distinct()), "term", "left_semi").groupBy("word", "term").agg(F.count("*").alias("times"))
+        words = checkpointed(words)
+        if R.is_small(words, 4 * CONFIG.broadcast_rows):
+            return R.tfidf_of(rows, q, "filled", k, [tuple(r) for r in words.select("word", "term", "times").collect()])
     index = identifier_postings(docs, key, wanted=q)
     n = docs.agg(F.count(F.when(F.regexp_count("text", F.lit(R.TERM)) > 0, 1)).alias("n"))
     df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
