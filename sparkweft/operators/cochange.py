@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..session import dealt, sorted_side
+from .retrieval import is_small
 
 NOISY = r"(?i)^(merge|bump|format|lint|rubocop|prettier|reformat|chore\(deps\))"
 
@@ -89,8 +90,10 @@ def graph_stats(items: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, min_weight: float = CONFIG.min_weight) -> DataFrame:
-    """(request_id, item_id) seeds -> (request_id, seed, item_id, weight)."""
-    return symmetric(edges).where(F.col("weight") >= min_weight).join(seeds.withColumnRenamed("item_id", "src"), "src").select("request_id", F.col("src").alias("seed"), F.col("dst").alias("item_id"), "weight")
+    """(request_id, item_id) seeds -> (request_id, seed, item_id, weight); few seeds go out to the edges, never the edges to the seeds."""
+    seeds = seeds.withColumnRenamed("item_id", "src")
+    seeds = F.broadcast(seeds) if is_small(seeds) else sorted_side(seeds)
+    return symmetric(edges).where(F.col("weight") >= min_weight).join(seeds, "src").select("request_id", F.col("src").alias("seed"), F.col("dst").alias("item_id"), "weight")
 
 
 def coverage(items: DataFrame, edges: DataFrame, links: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import payload as Y
 from ..operators import retrieval as R
 from ..operators import selection as S
 from ..operators import semantic as M
-from ..session import checkpointed
+from ..session import checkpointed, sorted_side
 from ..sources import inputs as I
 from . import code_queries as N
 from . import graph_queries as G
@@ -215,7 +215,7 @@ FIVE = (
 def cochange_list(spark, d):
     """Neighbours of the two items up to the query's number, the best weight over both."""
     seeds = named_queries(spark, d).select(F.col("query_id").alias("request_id"), F.explode(F.array("query_id", F.col("query_id") - 1)).alias("item_id"))
-    near = C.neighbours(G.edges_of(spark, d), seeds, 0.0).join(I.items(spark, d), "item_id")
+    near = C.neighbours(G.edges_of(spark, d), seeds, 0.0).join(sorted_side(I.items(spark, d)), "item_id")
     near = near.select(F.col("request_id").alias("query_id"), F.col("path").alias("doc"), F.col("weight").alias("score"))
     return M.max_merged(near, ["query_id", "doc"], 30).withColumn("score", F.round("score", 6))
 

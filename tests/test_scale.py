@@ -164,3 +164,10 @@ def test_keywords_and_identifiers_where_they_are_read(spark):
     df = {t: sum(1 for u, _ in tf if u == t) for t, _ in tf}
     score = round(sum(tf.get((t, 6), 0) * math.log(n / df[t]) for t in ("alpha", "zeta")), 6)
     assert found.where("query_id = 0 and doc = 6").first()["score"] == score
+
+
+def test_seeds_go_to_the_edges(spark):
+    e = spark.createDataFrame([(1, 2, 5.0)], "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(i, i) for i in range(500)], "request_id long, item_id long")
+    got = C.neighbours(e, seeds, 0.0)
+    assert "BuildRight" in joins(got) and "BuildLeft" not in joins(got) and rows(got) == [(1, 1, 2, 5.0), (2, 2, 1, 5.0)]
